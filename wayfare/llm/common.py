@@ -70,6 +70,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def byte_slices(batches, *columns: int, limit: int = 4_000_000):
+    """The batches, cut so that the texts of the given columns are of about so many bytes; a longer row is alone."""
+    for batch in batches:
+        size = sum(np.diff(text_bytes(batch.column(k))[1]) for k in columns)
+        part = (np.cumsum(size) - size) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(31))
