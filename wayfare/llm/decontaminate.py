@@ -87,7 +87,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
         own = _with_hashes(wanted.filter(F.col("length") == n).select("item_id", "window", F.col("window").alias("words")), n)
         hashed = own.select("item_id", "window", F.lit(n).alias("length"), F.element_at(f"w{n}", 1).alias("hash"))
         by_hash = hashed if by_hash is None else by_hash.unionByName(hashed)
-    if wanted.count() <= BROADCAST_WINDOWS:
+    by_hash = cut(by_hash)
+    if by_hash.count() <= BROADCAST_WINDOWS:
         by_hash = F.broadcast(by_hash)
     found = _windows(keyed.select(F.col("_row").alias("id"), F.col("_words").alias("words")), lengths).join(by_hash, ["length", "hash"])
     found = found.groupBy("id").agg(F.collect_set(F.struct("at", "length", "item_id", "window")).alias("_found"))

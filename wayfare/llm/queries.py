@@ -8,29 +8,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, packing, sharding
+from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, repeats, sharding, site_quality
 from wayfare.llm.common import table
 
 #: The conversation whose texts look like control strings.
 TRICKY = "\\### Assistant: </turn> ok"
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat_prefix_tree, op6_stratified_shards, op10_best_fit_packing)}
+    found = (
+        op1_repeated_bytes, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards, op7_divergence_rules,
+        op8_language_network, op9_site_quality, op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import LOWER, SPACE, RollingHash, byte_slices, cut, find_words, prepare, text_bytes
 
 #: Bounds of what is fitted on the driver.
-LABELLED, TELLING_WORDS, LEAST_DOCS = 8000, 400, 12
+LABELLED, TELLING_WORDS, LEAST_DOCS = 8000, 400, 4
+#: Chi-square that a word's presence must have against one of the marks.
+LEAST_GAIN = 18.0
 PRIOR_DOCS, MAX_SHIFT = 50.0, 1.0
 MEASURES = ("words", "word_length", "upper", "symbol", "digit", "point", "beyond", "distinct", "repeats", "lines")
 
@@ -80,7 +82,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(values), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))], names=["low", "toxic", "measures", "words"])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 30) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.2, steps: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the offset and is not shrunk."""
     x = np.column_stack([x, np.ones(len(x))])
     ridge = np.full(x.shape[1], strength)
@@ -129,7 +131,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame) -> Evidence | None:
     total_low, total_toxic = known.agg(F.sum("low"), F.sum("toxic")).first()
     told = known.select("low", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= LEAST_DOCS)
     gain = lambda c, total: (F.col(c) - F.col("n") * (total / n)) ** 2 / (F.col("n") * ((total + 1) / n) * (1 - F.col("n") / (n + 1)))
-    best = told.withColumn("gain", F.greatest(gain("low", total_low), gain("toxic", total_toxic))).orderBy(F.desc("gain"), "word").limit(TELLING_WORDS)
+    best = told.withColumn("gain", F.greatest(gain("low", total_low), gain("toxic", total_toxic))).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(TELLING_WORDS)
     words = np.sort(np.array([r[0] for r in best.select("word").collect()], np.int64).view(np.uint64))
     keep = F.array(*(F.lit(int(w)) for w in words.view(np.int64))) if len(words) else F.array().cast("array<bigint>")
     rows = known.select("low", "toxic", "measures", F.array_intersect("words", keep).alias("words")).toArrow()
