@@ -6,8 +6,9 @@ chance; candidates far below the limit go, all others are compared by their full
 
 Documents of equal sets are one class and are compared once. In a bucket of a band, each class is first compared with
 the bucket's least id. Only where a bucket then still holds several components, classes outside its largest one are
-compared with the bucket's classes of other components, likeliest first, until none is left untested: no link between
-components is lost, and no group is spread into all its pairs.
+held against the bucket's classes of other components, by a finer signature of FINE minima that only these classes get,
+so that families of texts just below the limit don't all come through. Those that remain are compared, likeliest first,
+until none is left untested: no link between components is lost, and no group is spread into all its pairs.
 
 A link of 0.85 is missed by all bands with a chance of (1 - 0.85**ROWS)**BANDS, about 4e-7.
 
@@ -29,35 +30,44 @@ from pyspark.sql.window import Window
 from wayfare.llm.common import byte_slices, cut, digest_pairs, mix, prepare, shingles
 from wayfare.llm.components import components
 
-HASHES, BANDS, ROWS, BITS = 128, 25, 5, 4
+HASHES, FINE, BANDS, ROWS, BITS = 128, 768, 25, 5, 4
 #: Links: 100 * intersection >= LIMIT * union.
 LIMIT = 85
 #: Standard deviations below the expected count of equal places at which a candidate still counts.
 SLACK = 5.5
 #: Candidates that a class has verified in the first round; four times as many in each later one.
-FIRST_ROUND = 8
+FIRST_ROUND = 64
+#: Classes of a block of a bucket; blocks are compared with each other inside tasks.
+BLOCK = 512
 
-_MULTIPLIERS = np.random.RandomState(23).randint(1, 1 << 62, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.RandomState(23).randint(1, 1 << 62, HASHES + FINE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("planes", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
-def least_equal(limit: int = LIMIT) -> int:
+def least_equal(limit: int = LIMIT, hashes: int = HASHES) -> int:
     """Equal places of two signatures that a linked pair has, but for about one in ten million."""
     chance = 2.0**-BITS
     p = limit / 100 * (1 - chance) + chance
-    return int(np.floor(HASHES * p - SLACK * (HASHES * p * (1 - p)) ** 0.5))
+    return int(np.floor(hashes * p - SLACK * (hashes * p * (1 - p)) ** 0.5))
 
 
-def minima(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of HASHES minima, one row per text; no text may be empty."""
-    out = np.empty((HASHES, len(at) - 1), np.uint64)
+def minima(values: np.ndarray, at: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Rows of minima, one row per text; no text may be empty."""
+    out = np.empty((len(multipliers), len(at) - 1), np.uint64)
     buffer = np.empty_like(values)
-    for k, m in enumerate(_MULTIPLIERS):
+    for k, m in enumerate(multipliers):
         np.multiply(values, m, out=buffer)
         out[k] = np.minimum.reduceat(buffer, at[:-1])
     return np.ascontiguousarray(out.T)
 
 
+def bit_planes(least: np.ndarray) -> np.ndarray:
+    """The low bits of rows of minima: for each bit, the minima's bits packed in words of 64."""
+    low = np.ascontiguousarray(mix(least))
+    packed = [np.packbits(((low >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), axis=1) for p in range(BITS)]
+    return np.ascontiguousarray(np.concatenate(packed, axis=1)).view(np.uint64)
+
+
 def _list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
 
@@ -73,11 +83,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(np.diff(at))
         planes, bands = np.zeros((batch.num_rows, 2 * BITS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
         if len(full):
-            least = minima(values, np.append(at[full], at[-1]))
-            low = np.ascontiguousarray(mix(least))
-            for p in range(BITS):
-                bits = ((low >> np.uint64(p)) & np.uint64(1)).astype(np.uint8)
-                planes[full, 2 * p : 2 * p + 2] = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
+            least = minima(values, np.append(at[full], at[-1]), _MULTIPLIERS[:HASHES])
+            planes[full] = bit_planes(least)
             terms = least[:, : BANDS * ROWS] * weights
             bands[full] = mix(terms.reshape(len(full), BANDS, ROWS).sum(axis=2, dtype=np.uint64))
         columns = [batch.column(0), *(pa.array(digests[:, k]) for k in range(3)), _list_column(planes), _list_column(bands)]
@@ -88,13 +95,48 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, planes array<long>, bands array<long>")
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in byte_slices(batches, 1, limit=1_000_000):
+        values, at = shingles(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(bit_planes(minima(values, at, _MULTIPLIERS[HASHES:])))], names=["doc_id", "planes"])
+
+
+def _crossing(least: int):
+    """Rows of two blocks of classes to their pairs across components that have enough equal places."""
+    words = FINE // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (a, of_a, _, x), (b, of_b, major_b, y) = (_block(batch.column(c)[k].values) for c in (0, 1))
+                for i in range(0, len(a), 64):
+                    own = slice(i, i + 64)
+                    wanted = (of_a[own, None] != of_b[None, :]) & (major_b[None, :] | (a[own, None] < b[None, :]))
+                    if not wanted.any():
+                        continue
+                    differ = x[own, None, :words] ^ y[None, :, :words]
+                    for p in range(1, BITS):
+                        differ |= x[own, None, p * words : (p + 1) * words] ^ y[None, :, p * words : (p + 1) * words]
+                    equal = FINE - np.bitwise_count(differ).sum(axis=2, dtype=np.int32)
+                    r, c = np.nonzero(wanted & (equal >= least))
+                    yield pa.RecordBatch.from_arrays([pa.array(a[own][r]), pa.array(b[c]), pa.array(equal[r, c], pa.int32())], names=["a", "b", "equal"])
+
+    return run
+
+
+def _block(values: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """ids, components, whether in the bucket's largest component, planes."""
+    ids, of, major = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    return ids, of, major.astype(bool), values.field(3).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+
+
 def equal_places(x: Column, y: Column) -> Column:
     """Places of two signatures with the same low bits, by bit counts over the planes."""
-    count = None
-    for half in range(2):
+    count, words = None, HASHES // 64
+    for k in range(words):
         differ = None
         for p in range(BITS):
-            one = x[2 * p + half].bitwiseXOR(y[2 * p + half])
+            one = x[words * p + k].bitwiseXOR(y[words * p + k])
             differ = one if differ is None else differ.bitwiseOR(one)
         same = F.bit_count(F.bitwise_not(differ))
         count = same if count is None else count + same
@@ -150,25 +192,33 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     found = components(links)
 
     # buckets that still hold several components
-    here = reps.join(found, reps["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "planes", "bands")
-    spread = here.select("doc_id", "component", F.explode("bands").alias("bucket"))
-    mixed = spread.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("major")).filter("kinds > 1")
-    inside = cut(here.select("doc_id", "component", "planes", F.explode("bands").alias("bucket")).join(mixed.select("bucket", "major"), "bucket"))
-    minor = inside.filter("component <> major").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("planes").alias("x"))
-    other = inside.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"), F.col("planes").alias("y"), (F.col("component") == F.col("major")).alias("is_major"))
-    equal = equal_places(F.col("x"), F.col("y"))
-    crossing = minor.join(other, (minor["bucket"] == other["bucket"]) & (F.col("of_a") != F.col("of_b")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & (equal >= least))
-    untested = cut(crossing.groupBy("a", "b").agg(F.max(equal).alias("equal")))
+    here = reps.join(found, reps["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.explode("bands").alias("bucket"))
+    kinds = here.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+    mixed = kinds.filter("kinds > 1").select("bucket", "n", (F.col("n") - F.col("most.n")).alias("n_minor"), F.col("most.component").alias("major"))
+    inside = cut(here.join(mixed, "bucket"))
+    again = inside.select("doc_id").distinct()
+    fine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    inside = inside.join(cut(fine.mapInArrow(_fine, "doc_id long, planes array<long>")), "doc_id")
+    one = F.struct("doc_id", "component", (F.col("component") == F.col("major")).alias("is_major"), "planes")
+
+    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK))
+        return rows.groupBy("bucket", block.alias(f"block_{name}")).agg(F.collect_list(one).alias(name))
+
+    facing = blocks(inside.filter("component <> major"), "n_minor", "a").join(blocks(inside, "n", "b"), "bucket")
+    crossing = facing.select("a", "b").mapInArrow(_crossing(least_equal(limit, FINE)), "a long, b long, equal int")
+    untested = cut(crossing.groupBy("a", "b").agg(F.max("equal").alias("equal")))
     many = FIRST_ROUND
-    while True:
+    while not untested.isEmpty():
         # pairs that earlier links have brought together need no test
         at = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         apart = untested.join(at, "a", "left").join(at.toDF("b", "of_b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "equal")
         ranked = cut(apart.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("equal"), "b"))))
-        if ranked.isEmpty():
-            break
-        links = links.union(cut(verified(ranked.filter(F.col("rank") <= many), docs, limit)))
-        found, untested = components(links), ranked.filter(F.col("rank") > many).drop("rank")
+        more = cut(verified(ranked.filter(F.col("rank") <= many), docs, limit))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
+        untested = ranked.filter(F.col("rank") > many).drop("rank")
         many *= 4
 
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
