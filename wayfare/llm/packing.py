@@ -13,7 +13,9 @@ rows; columns besides doc_id and text are ignored; null doc_id stays null.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +30,22 @@ from wayfare.llm.common import cut, prepare
 CAPACITY, END_ID, OPEN_BINS = 4096, 1, 48
 #: Tokens that one task of the second round takes.
 SECOND_ROUND_TOKENS = 4_000_000
-#: Words of up to so many characters are kept with their ids, up to so many words a worker.
-CACHED_CHARS, CACHED_WORDS = 48, 300_000
+#: Words that a worker keeps with their ids before it begins anew.
+CACHED_WORDS = 500_000
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+#: Letters and the punctuation after them are tokens of their own, so both are looked up apart. No apostrophe: 's is one.
+_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|()-]+)")
+
+
 class WordTokens:
     """Token ids of whole texts, word by word.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its words in order.
-    Each word is encoded by the tokenizers library once.
+    The vocabulary drops white space and never joins across it, so a text's ids are those of its words in order. It
+    lower-cases as well, so A-Z are lower-cased first. Each word is encoded by the tokenizers library once and kept in
+    flat arrays; words that only differ in the punctuation after them share their letters' ids.
     """
 
     def __init__(self, path: str):
@@ -46,29 +53,50 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.size = array("I"), array("q"), array("q")
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.known[word] = len(self.begin)
+        self.begin.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        ended, plain = [], []
+        for w in words:
+            if m := _ENDED.fullmatch(w):
+                ended.append((w, *m.groups()))
+            else:
+                plain.append(w)
+        parts = {p for _, *pair in ended for p in pair if p not in self.known}
+        plain = [*{*plain} | parts]
+        for w, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
+            self._keep(w, e.ids)
+        for w, letters, points in ended:
+            self._keep(w, [i for p in (letters, points) for i in self.ids[self.begin[self.known[p]] : self.begin[self.known[p]] + self.size[self.known[p]]]])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts in them."""
-        lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values[at[0] : at[-1]].dictionary_encode()
         at = at - at[0]
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        ids = [fresh[w] if w in fresh else self.known[w] for w in words]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known.clear()
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_CHARS)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        codes = coded.indices.to_numpy()
-        size = sizes[codes]
+        if len(self.known) > CACHED_WORDS or len(self.ids) > 8 * CACHED_WORDS:
+            self.forget()
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        size = np.frombuffer(self.size, np.int64)[of] if words else of
         ends = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(begins[codes] - ends[:-1], size) + np.arange(ends[-1])
-        return flat[take], ends[at]
+        if not ends[-1]:
+            return np.zeros(0, np.uint32), ends[at]
+        take = np.repeat(np.frombuffer(self.begin, np.int64)[of] - ends[:-1], size) + np.arange(ends[-1])
+        return np.frombuffer(self.ids, np.uint32)[take], ends[at]
 
 
 class OpenBins:
