@@ -22,6 +22,8 @@ BROADCAST_WINDOWS = 500_000
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z; this is what lies between them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing, and what lies between these.
+WORD, APART = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -117,3 +119,21 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     n_hit = covered(F.col("hits")).cast("long")
     rows = rows.select("doc_id", F.size("_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"))
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the words under hits, each with what follows it. Rows left without a word go.
+
+    What is left keeps its case. An n_chars column is counted anew.
+    """
+    found = find_leaks(docs, benchmark, window)
+    clean = found.filter(F.size("hits") == 0).select(docs.columns)
+    under = F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1)))
+    leaking = found.filter(F.size("hits") > 0).withColumn("_under", F.array_distinct(under))
+    # a text's words, each with what follows it, in their own case
+    leaking = leaking.withColumn("_own", F.regexp_extract_all("text", F.lit(f"{WORD}(?:{APART})?"), F.lit(0)))
+    left = F.array_join(F.filter("_own", lambda w, i: ~F.array_contains("_under", i)), "")
+    leaking = leaking.withColumn("text", left).filter(F.col("text") != "")
+    if "n_chars" in docs.columns:
+        leaking = leaking.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.unionByName(leaking.select(docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, repeats, sharding, site_quality
+from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality
 from wayfare.llm.common import table
 
 #: The conversation whose texts look like control strings.
@@ -19,6 +19,10 @@ def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_passage_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
@@ -55,8 +59,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_repeated_bytes, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards, op7_divergence_rules,
-        op8_language_network, op9_site_quality, op10_best_fit_packing,
+        op1_repeated_bytes, op2_passage_banding, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards,
+        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing,
     )
     return {f.__name__: f for f in found}
 

@@ -353,23 +353,29 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     return marks
 
 
+def _without(data: bytes, marks: pa.Scalar) -> tuple[bytes, int, int]:
+    """What is left of a text without its marks (null: none), the bytes removed, the runs removed."""
+    if not marks.is_valid:
+        return data, 0, 0
+    s, e = np.asarray(marks.values.field(0)), np.asarray(marks.values.field(1))
+    by = np.argsort(s, kind="stable")
+    s, e = s[by], np.maximum.accumulate(e[by])
+    new = np.append(True, s[1:] > e[:-1])
+    kept, at, removed = [], 0, 0
+    for a, b in zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:], len(s)) - 1].tolist(), strict=True):
+        kept.append(data[at:a])
+        at, removed = b, removed + b - a
+    return b"".join([*kept, data[at:]]), removed, int(new.sum())
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
     for batch in batches:
         out = []
         for doc_id, text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            data, kept, at, spans, removed = (text or "").encode(), [], 0, 0, 0
-            if marks.is_valid:
-                s = np.asarray(marks.values.field(0))
-                e = np.asarray(marks.values.field(1))
-                by = np.argsort(s, kind="stable")
-                s, e = s[by], np.maximum.accumulate(e[by])
-                new = np.append(True, s[1:] > e[:-1])
-                for a, b in zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:], len(s)) - 1].tolist(), strict=True):
-                    kept.append(data[at:a])
-                    at, spans, removed = b, spans + 1, removed + b - a
-            rest = b"".join([*kept, data[at:]])
-            out.append((doc_id, len(data), removed, spans, hashlib.sha256(rest).hexdigest(), rest))
+            data = (text or "").encode()
+            kept, removed, spans = _without(data, marks)
+            out.append((doc_id, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t.type) for k, t in enumerate(schema)], schema=schema)
 
 
@@ -380,3 +386,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = repeated_spans(rows, length, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     return rows.join(marks, "row", "left").select("row", "doc_id", "text", "marks").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """docs with what is left of each text; bytes of letters cut in two go, and rows that lose all but blanks.
+
+    An n_chars column is counted anew.
+    """
+    names = docs.columns
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, marks = batch.column(names.index("text")).to_pylist(), batch.column(len(names))
+            text = pa.array([_without(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(old, marks, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(k) for k, n in enumerate(names)], names=names)
+
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    prepare(docs.sparkSession)
+    spans = repeated_spans(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, most)
+    marks = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
+    joined = rows.join(marks, rows["_row"] == marks["row"], "left")
+    whole = joined.filter("_marks is null").select(names)
+    changed = joined.filter("_marks is not null").select(*names, "_marks").mapInArrow(run, schema).filter(F.trim("text") != "")
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return whole.unionByName(changed.select(names))
