@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -29,4 +30,5 @@ def differences(df, con, sql: str) -> list[str]:
     if sorted(names) != sorted(theirs_names):
         return [f"columns {sorted(names)} and {sorted(theirs_names)}"]
     out = [f"{len(ours)} and {len(theirs)} rows"] if len(ours) != len(theirs) else []
-    return out + [f"{a} and {b}" for a, b in zip(ours, theirs, strict=False) if a != b][:5]
+    left, right = Counter(ours), Counter(theirs)
+    return out + [f"only ours {x}" for x in sorted((left - right), key=repr)[:3]] + [f"only theirs {x}" for x in sorted((right - left), key=repr)[:3]]

@@ -56,8 +56,8 @@ def circular_distance(a: Column, b: Column, params: Params = DEFAULT) -> Column:
 
 
 def distance_band(miles: Column, params: Params = DEFAULT) -> Column:
-    """Number of the band [low, high); what is beyond the last is in the last."""
-    edges = params.distance_bands
+    """Number of the band [low, high); what is beyond the last is in the last. Means a hair off an edge are on it."""
+    edges, miles = params.distance_bands, F.round(miles, 9)
     band = F.when(miles < edges[1], 0)
     for k in range(1, len(edges) - 2):
         band = band.when(miles < edges[k + 1], k)

@@ -153,4 +153,4 @@ def with_profile_at(rows: DataFrame, profiles: DataFrame, params: Params = DEFAU
     joined = rows.join(low, low_bin(minute, params) == F.col("_lb"), "left").join(high, next_bin(minute, params) == F.col("_hb"), "left")
     speed = clip(F.coalesce((1 - t) * F.col("_ls") + t * F.col("_hs"), F.lit(params.fallback_mph)), *params.mph)
     rate = F.greatest(F.coalesce((1 - t) * F.col("_lr") + t * F.col("_hr"), F.lit(0.1)), F.lit(0.1))
-    return joined.select(*rows.columns, speed.alias("speed_at"), rate.alias("rpm_at"))
+    return joined.select(*(c for c in rows.columns if c not in ("speed_at", "rpm_at")), speed.alias("speed_at"), rate.alias("rpm_at"))

@@ -27,8 +27,8 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(F.col(c) + 1.3e-9, 5).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select(*(F.round(F.col(c) + 1.3e-9, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def trip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +235,7 @@ def od_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destinations from every zone at 96 minutes between bins."""
     m = model(spark, sf_dir)
     asked = m.nodes.select((F.col("time_bin") * 1000 + F.col("zone_id")).cast("long").alias("query_id"), F.col("zone_id").alias("origin"), (F.col("time_bin") * 15 + 7.0).alias("minute"))
-    return rounded(look.od_options(asked, m.od).select("query_id", "origin", "destination", "probability", "driver_revenue", "duration_min", "distance_miles", "confidence"))
+    return rounded(look.od_options(asked, m.od).select("query_id", "origin", "destination", "probability", "driver_revenue", "duration_min", "distance_miles", "confidence"), 3)
 
 
 @query

@@ -5,6 +5,54 @@ from __future__ import annotations
 #: Weights of the circular bins around one, and the same for SQL.
 _OFFSETS = "(VALUES " + ", ".join(f"({s * d}, exp(-{d}/1.5))" for d in range(1, 5) for s in (-1, 1)) + ") AS around(step, near)"
 
+
+def _priors(temporal: str, spatial: str, observed: str, pairs: str) -> str:
+    return f"""{temporal} AS (
+  SELECT CAST((time_bin + step + 96) % 96 AS INT) AS time_bin, origin, destination, sum(n*near) AS w, sum(n*near*ar)/sum(n*near) AS r, sum(n*near*am)/sum(n*near) AS m, sum(n*near*ad)/sum(n*near) AS d,
+    sum(n*near*sr)/sum(n*near) AS sr, sum(n*near*sm)/sum(n*near) AS sm, sum(n*near*sd)/sum(n*near) AS sd
+  FROM {observed}, {_OFFSETS} GROUP BY ALL),
+{spatial} AS (
+  SELECT origin, destination, sum(w) AS w, sum(w*ar)/sum(w) AS r, sum(w*am)/sum(w) AS m, sum(w*ad)/sum(w) AS d, sum(w*sr)/sum(w) AS sr, sum(w*sm)/sum(w) AS sm, sum(w*sd)/sum(w) AS sd FROM (
+    SELECT k.zone_id AS origin, p.destination, p.n*exp(-k.miles/2) AS w, ar, am, ad, sr, sm, sd FROM {pairs} p JOIN near k ON k.neighbour = p.origin
+    UNION ALL SELECT p.origin, k.zone_id, p.n*exp(-k.miles/2), ar, am, ad, sr, sm, sd FROM {pairs} p JOIN near k ON k.neighbour = p.destination) GROUP BY ALL)"""
+
+
+def _estimates(name: str, observed: str, pairs: str, temporal: str, spatial: str, direct: bool) -> str:
+    """An estimate of every cell by the first source that has one, then the guard."""
+    tiers = [
+        ("o.n IS NOT NULL", ["s.rel*o.ar + (1-s.rel)*coalesce(g.ar*s.rr, o.ar)", "s.rel*o.am + (1-s.rel)*coalesce(g.am*s.sr_, o.am)", "s.rel*o.ad + (1-s.rel)*coalesce(g.ad, o.ad)", "greatest(0.5, s.rel*o.sr + (1-s.rel)*coalesce(g.sr, o.sr))", "greatest(1, s.rel*o.sm + (1-s.rel)*coalesce(g.sm*s.sr_, o.sm))", "greatest(0.1, s.rel*o.sd + (1-s.rel)*coalesce(g.sd, o.sd))", "s.rel", "o.n", "CASE WHEN o.n >= 20 THEN 'full_observed_dense_eb' ELSE 'full_observed_sparse_eb' END"]),
+        ("t.w > 0", ["t.r*s.rr", "t.m*s.sr_", "t.d", "greatest(0.5, t.sr)", "greatest(1, t.sm*s.sr_)", "greatest(0.1, t.sd)", "least(greatest(0.15 + 0.7*t.w/(t.w+30), 0.05), 0.88)", "0", "'temporal_same_od_eb'"]),
+        ("g.n IS NOT NULL", ["greatest(0, g.ar*s.rr)", "greatest(1, g.am*s.sr_)", "greatest(0.01, g.ad)", "greatest(0.5, g.sr)", "greatest(1, g.sm*s.sr_)", "greatest(0.1, g.sd)", "least(greatest(0.2 + 0.7*g.n/(g.n+50.0::DOUBLE), 0.05), 0.9)", "0", "'global_od_time_adjusted'"]),
+        ("x.w > 0", ["greatest(2.5, 0.55*x.r*s.rr + 0.45*s.gr)", "greatest(1, 0.55*x.m*s.sr_ + 0.45*s.drive)", "greatest(0.01, 0.55*x.d + 0.45*s.way)", "greatest(1, x.sr)", "greatest(2, x.sm*s.sr_)", "greatest(0.25, x.sd)", "least(greatest(0.12 + 0.35*least(x.w, 100)/(least(x.w, 100)+30), 0.05), 0.48)", "0", "'spatial_neighbor_gravity_eb'"]),
+    ]
+    if direct:
+        tiers.insert(0, ("q.n IS NOT NULL", ["q.revenue", "q.minutes", "q.dist", "q.dev", "q.dev_m", "q.dev_d", "q.confidence", "q.n", "q.layer"]))
+    names = ("revenue", "minutes", "miles", "revenue_std", "minutes_std", "miles_std", "confidence", "observed_trip_count", "source")
+    picked = ", ".join("CASE " + " ".join(f"WHEN {c} THEN {v[k]}" for c, v in tiers) + f" END AS {n}" for k, n in enumerate(names))
+    stored = "LEFT JOIN od q ON q.time_bin = s.time_bin AND q.origin = s.origin AND q.destination = s.destination" if direct else ""
+    return f"""{name}_base AS (
+  SELECT s.time_bin, s.origin, s.destination, s.speed, all_mph/s.speed AS sr_, p.rpm/greatest(0.1, all_rpm) AS rr, way, drive, greatest(2.5, intercept + distance*way + duration*drive) AS gr
+  FROM (SELECT c.time_bin, c.origin, c.destination, least(greatest(mph, 5), 35) AS speed, all_mph, all_rpm, greatest(0.01, CASE WHEN c.origin = c.destination THEN 0 ELSE coalesce(w.miles, c.miles) END) AS way,
+      greatest(1, CASE WHEN c.origin = c.destination THEN 0 ELSE greatest(0.1, coalesce(w.minutes*all_mph, c.miles*60)/least(greatest(mph, 5), 35)) END) AS drive
+    FROM structural c CROSS JOIN (SELECT avg(mph) AS all_mph, avg(rpm) AS all_rpm FROM profiles) LEFT JOIN routes w ON w.origin = c.origin AND w.destination = c.destination) s
+    JOIN profiles p ON p.time_bin = s.time_bin CROSS JOIN gravity),
+{name}_picked AS (
+  SELECT s.time_bin, s.origin, s.destination, s.speed, {picked}
+  FROM (SELECT b.*, o.n/(o.n+10.0::DOUBLE) AS rel FROM {name}_base b LEFT JOIN {observed} o ON o.time_bin = b.time_bin AND o.origin = b.origin AND o.destination = b.destination) s {stored}
+    LEFT JOIN {observed} o ON o.time_bin = s.time_bin AND o.origin = s.origin AND o.destination = s.destination LEFT JOIN {pairs} g ON g.origin = s.origin AND g.destination = s.destination
+    LEFT JOIN {temporal} t ON t.time_bin = s.time_bin AND t.origin = s.origin AND t.destination = s.destination LEFT JOIN {spatial} x ON x.origin = s.origin AND x.destination = s.destination),
+{name}_banded AS (
+  SELECT k.*, z.borough_pair, z.airport_pair, greatest(0.01, k.miles) AS long,
+    CASE WHEN round(k.miles, 9) < 1 THEN 0 WHEN round(k.miles, 9) < 2 THEN 1 WHEN round(k.miles, 9) < 4 THEN 2 WHEN round(k.miles, 9) < 7 THEN 3 WHEN round(k.miles, 9) < 12 THEN 4 WHEN round(k.miles, 9) < 20 THEN 5 ELSE 6 END AS band
+  FROM {name}_picked k JOIN miles z ON z.origin = k.origin AND z.destination = k.destination),
+{name} AS (
+  SELECT b.time_bin, b.origin, b.destination, greatest(0, b.revenue) AS revenue, greatest(1, long/35*60, b.minutes, floor_minutes) AS minutes, b.miles, b.revenue_std, b.minutes_std, b.miles_std,
+    least(greatest(b.confidence, 0.05), 0.995) AS confidence, b.observed_trip_count, b.source, floor_minutes
+  FROM (SELECT b.*, 0.85*greatest(1, long/greatest(speed, 5)*60)*least(greatest(f.factor*coalesce(c1.factor,1)*coalesce(c2.factor,1)*coalesce(c3.factor,1)*coalesce(c4.factor,1), 0.7), 1.8) AS floor_minutes
+    FROM {name}_banded b JOIN calibration f ON f.kind = 'global' LEFT JOIN calibration c1 ON c1.kind = 'distance_band' AND c1.key = b.band::VARCHAR LEFT JOIN calibration c2 ON c2.kind = 'borough_pair' AND c2.key = b.borough_pair
+    LEFT JOIN calibration c3 ON c3.kind = 'airport_pair' AND c3.key = b.airport_pair LEFT JOIN calibration c4 ON c4.kind = 'time_bin' AND c4.key = b.time_bin::VARCHAR) b)"""
+
+
 _CHAIN = f"""
 WITH RECURSIVE zones AS (
   SELECT CAST(n_nationkey + 1 AS INT) AS zone_id, r_name AS borough, CASE WHEN n_nationkey IN (0, 12) THEN n_name || ' Airport' ELSE n_name END AS zone_name,
@@ -51,7 +99,7 @@ gravity AS (
 miles AS (SELECT a.zone_id AS origin, b.zone_id AS destination, sqrt((a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy))/5280.0 AS miles, a.borough || '->' || b.borough AS borough_pair,
     CASE WHEN a.zone_name LIKE '%Airport%' OR b.zone_name LIKE '%Airport%' THEN 'airport' ELSE 'non_airport' END AS airport_pair FROM zones a, zones b),
 ratios AS (
-  SELECT o.time_bin, n, CASE WHEN ad < 1 THEN 0 WHEN ad < 2 THEN 1 WHEN ad < 4 THEN 2 WHEN ad < 7 THEN 3 WHEN ad < 12 THEN 4 WHEN ad < 20 THEN 5 ELSE 6 END AS distance_band, borough_pair, airport_pair,
+  SELECT o.time_bin, n, CASE WHEN round(ad, 9) < 1 THEN 0 WHEN round(ad, 9) < 2 THEN 1 WHEN round(ad, 9) < 4 THEN 2 WHEN round(ad, 9) < 7 THEN 3 WHEN round(ad, 9) < 12 THEN 4 WHEN round(ad, 9) < 20 THEN 5 ELSE 6 END AS distance_band, borough_pair, airport_pair,
     least(greatest(am / greatest(1, ad/greatest(mph, 5)*60), 0.35), 3) AS ratio
   FROM observed o JOIN profiles p USING (time_bin) JOIN miles z ON o.origin = z.origin AND o.destination = z.destination WHERE ad > 0 AND am > 0),
 overall AS (SELECT sum(n*ratio)/sum(n) AS overall, sum(n)::BIGINT AS trips FROM ratios),
@@ -67,7 +115,7 @@ near_all AS (SELECT origin AS zone_id, destination AS neighbour, miles, row_numb
 near AS (SELECT * FROM near_all WHERE rank <= 4),
 structural AS (
   SELECT b.time_bin, z.origin, z.destination, z.miles, z.borough_pair, z.airport_pair, p.mph,
-    CASE WHEN miles < 1 THEN 0 WHEN miles < 2 THEN 1 WHEN miles < 4 THEN 2 WHEN miles < 7 THEN 3 WHEN miles < 12 THEN 4 WHEN miles < 20 THEN 5 ELSE 6 END AS distance_band
+    CASE WHEN round(miles, 9) < 1 THEN 0 WHEN round(miles, 9) < 2 THEN 1 WHEN round(miles, 9) < 4 THEN 2 WHEN round(miles, 9) < 7 THEN 3 WHEN round(miles, 9) < 12 THEN 4 WHEN round(miles, 9) < 20 THEN 5 ELSE 6 END AS distance_band
   FROM miles z CROSS JOIN bins b JOIN profiles p USING (time_bin)),
 calibrated AS (
   SELECT s.*, mult, greatest(1, greatest(1, miles/greatest(mph, 5)*60)*mult) AS minutes FROM (
@@ -119,17 +167,11 @@ scored AS (
     UNION ALL SELECT time_bin, zone_id, destination, greatest(0.1, 1 - rank/of::DOUBLE) FROM popular CROSS JOIN bins CROSS JOIN zones WHERE rank < 20
     UNION ALL SELECT time_bin, zone_id, zone_id, 0 FROM bins CROSS JOIN zones) GROUP BY ALL),
 support AS (SELECT time_bin, origin, destination, score FROM (SELECT *, row_number() OVER (PARTITION BY time_bin, origin ORDER BY round(score, 9) DESC, destination) AS k FROM scored) WHERE k <= 20),
-temporal AS (
-  SELECT CAST((time_bin + step + 96) % 96 AS INT) AS time_bin, origin, destination, sum(n*near) AS w, sum(n*near*ar)/sum(n*near) AS r, sum(n*near*am)/sum(n*near) AS m, sum(n*near*ad)/sum(n*near) AS d
-  FROM observed, {_OFFSETS} GROUP BY ALL),
-spatial AS (
-  SELECT origin, destination, sum(w) AS w, sum(w*ar)/sum(w) AS r, sum(w*am)/sum(w) AS m, sum(w*ad)/sum(w) AS d FROM (
-    SELECT k.zone_id AS origin, p.destination, p.n*exp(-k.miles/2) AS w, ar, am, ad FROM pairs p JOIN near k ON k.neighbour = p.origin
-    UNION ALL SELECT p.origin, k.zone_id, p.n*exp(-k.miles/2), ar, am, ad FROM pairs p JOIN near k ON k.neighbour = p.destination) GROUP BY ALL),
+{_priors('temporal', 'spatial', 'observed', 'pairs')},
 mean_mph AS (SELECT avg(mph) AS all_mph FROM profiles),
 totals AS (SELECT origin, sum(n) AS n FROM pairs GROUP BY ALL),
 joined AS (
-  SELECT s.time_bin, s.origin, s.destination, c.miles, c.minutes AS gm, c.mult, coalesce(o.n, 0)::DOUBLE AS n, coalesce(p.n, 0)::DOUBLE AS pn, o.ar AS o_r, o.am AS o_m, o.ad AS o_d, o.sr AS o_sr, p.sr AS p_sr, p.n IS NOT NULL AS seen,
+  SELECT s.time_bin, s.origin, s.destination, c.miles, c.minutes AS gm, c.mult, coalesce(o.n, 0)::DOUBLE AS n, coalesce(p.n, 0)::DOUBLE AS pn, o.ar AS o_r, o.am AS o_m, o.ad AS o_d, o.sr AS o_sr, p.sr AS p_sr, o.sm AS o_sm, p.sm AS p_sm, o.sd AS o_sd, p.sd AS p_sd, p.n IS NOT NULL AS seen,
     greatest(0, intercept + distance*c.miles + duration*c.minutes) AS gr, coalesce(p.ar, mean_revenue) AS p_r, coalesce(p.am*all_mph/c.mph, c.minutes) AS p_m, coalesce(p.ad, c.miles) AS p_d,
     coalesce(t.w, 0) AS tw, t.r AS t_r, t.m AS t_m, t.d AS t_d, coalesce(x.w, 0) AS xw, x.r AS x_r, x.m AS x_m, x.d AS x_d, coalesce(tt.n, 0) AS total, posterior AS rate
   FROM support s JOIN calibrated c ON c.time_bin = s.time_bin AND c.origin = s.origin AND c.destination = s.destination CROSS JOIN gravity CROSS JOIN mean_mph
@@ -146,7 +188,8 @@ blended AS (
     prior/sum(prior) OVER (PARTITION BY time_bin, origin) AS share FROM weighted),
 od AS (SELECT *, (n + 8*share)/sum(n + 8*share) OVER (PARTITION BY time_bin, origin) AS p,
     CASE WHEN n >= 20 THEN 'observed_dense_eb' WHEN n > 0 THEN 'observed_sparse_eb' WHEN tw > 0 THEN 'temporal_eb' WHEN w3 > 0 THEN 'spatial_eb' WHEN pn > 0 THEN 'global_od_eb' ELSE 'gravity_prior' END AS layer,
-    least(greatest(eff/(eff+10), 0.05), 0.995) AS confidence, CASE WHEN n >= 2 THEN o_sr WHEN seen THEN p_sr ELSE greatest(1, 0.35*gr) END AS dev FROM blended),
+    least(greatest(eff/(eff+10), 0.05), 0.995) AS confidence, CASE WHEN n >= 2 THEN o_sr WHEN seen THEN p_sr ELSE greatest(1, 0.35*gr) END AS dev,
+    CASE WHEN n >= 2 THEN o_sm WHEN seen THEN p_sm ELSE greatest(2, 0.3*gm) END AS dev_m, CASE WHEN n >= 2 THEN o_sd WHEN seen THEN p_sd ELSE greatest(0.25, 0.25*miles) END AS dev_d FROM blended),
 expected AS (SELECT time_bin, origin AS zone_id, sum(p*revenue) AS revenue, sum(p*minutes) AS minutes, sum(p*dist) AS dist FROM od GROUP BY ALL),
 adjacent AS (SELECT origin, destination FROM miles WHERE origin <> destination AND miles <= 9000.5/5280),
 edges AS (
@@ -154,28 +197,59 @@ edges AS (
     CASE WHEN n IS NOT NULL THEN least(greatest(n/(n+10.0::DOUBLE), 0.2), 0.99) ELSE 0.2 END AS confidence, CASE WHEN n IS NOT NULL THEN 'historical_od' ELSE 'centroid_fallback' END AS edge_source
   FROM adjacent a JOIN miles z ON z.origin = a.origin AND z.destination = a.destination LEFT JOIN pairs p ON p.origin = a.origin AND p.destination = a.destination),
 hops AS (
-  SELECT 1 AS k, origin, destination, minutes FROM edges
+  SELECT 1 AS k, origin, destination, minutes, miles FROM edges
   UNION ALL
-  SELECT k + 1, origin, destination, min(minutes) FROM (
-    SELECT h.k, h.origin, e.destination, h.minutes + e.minutes AS minutes FROM hops h JOIN edges e ON e.origin = h.destination WHERE h.k < 24 AND e.destination <> h.origin) GROUP BY ALL),
-routes AS (SELECT origin, destination, min(minutes) AS minutes FROM hops GROUP BY ALL),
+  SELECT k + 1, origin, destination, min(minutes), arg_min(miles, minutes) FROM (
+    SELECT h.k, h.origin, e.destination, h.minutes + e.minutes AS minutes, h.miles + e.miles AS miles FROM hops h JOIN edges e ON e.origin = h.destination WHERE h.k < 24 AND e.destination <> h.origin) GROUP BY ALL),
+routes AS (SELECT origin, destination, min(minutes) AS minutes, arg_min(miles, minutes) AS miles FROM hops GROUP BY ALL),
+part_observed AS (SELECT * FROM observed WHERE (7*origin + 3*destination) % 5 <> 0),
+part_pairs AS (SELECT * FROM pairs WHERE (7*origin + 3*destination) % 5 <> 0),
+{_priors('part_temporal', 'part_spatial', 'part_observed', 'part_pairs')},
+{_estimates('fallback', 'part_observed', 'part_pairs', 'part_temporal', 'part_spatial', direct=False)},
+{_estimates('estimate', 'observed', 'pairs', 'temporal', 'spatial', direct=True)},
 asked AS (
   SELECT o_orderkey AS query_id, CAST(c_nationkey + 1 AS INT) AS origin, CAST((c_nationkey + o_orderkey) % 25 + 1 AS INT) AS destination, CAST((o_orderkey*37) % 1440 AS DOUBLE) AS minute
   FROM orders JOIN customer ON o_custkey = c_custkey),
+full_nodes AS (SELECT n.*, e.revenue, e.minutes, e.dist FROM nodes n JOIN expected e ON e.time_bin = n.time_bin AND e.zone_id = n.zone_id),
 sided AS (SELECT *, CAST(floor(minute/15) AS INT) AS low, CAST((floor(minute/15) + 1) % 96 AS INT) AS high, minute/15 - floor(minute/15) AS t FROM asked)
 """
 
 
-def _select(columns: str, source: str, doubles: str = "") -> str:
+def _select(columns: str, source: str, doubles: str = "", digits: int = 5) -> str:
     """columns as they are; doubles as `expression name` pairs, rounded as in the queries."""
     parts = [columns] if columns else []
     for x in filter(None, (p.strip() for p in doubles.split(";"))):
         expression, _, name = x.rpartition(" ")
-        parts.append(f"round({expression or name} + 1.3e-9, 5) AS {name}")
+        parts.append(f"round({expression or name} + 1.3e-9, {digits}) AS {name}")
     return f"{_CHAIN} SELECT {', '.join(parts)} FROM {source}"
 
 
+_ESTIMATED = ("revenue", "minutes", "miles", "revenue_std", "minutes_std", "miles_std", "confidence", "observed_trip_count")
+
+_NODES = """(SELECT s.query_id, s.origin AS zone_id, s.minute, {} FROM sided s JOIN full_nodes a ON a.time_bin = low AND a.zone_id = s.origin JOIN full_nodes b ON b.time_bin = high AND b.zone_id = s.origin)"""
+_NODE_NAMES = ("posterior", "ratio", "supply", "node_confidence", "revenue", "minutes", "dist", "wait_high")
+
 ORACLES: dict[str, str] = {
+    "od_lookup": _select(
+        "query_id, origin, destination, source, observed_trip_count > 0 AS is_directly_observed",
+        "(SELECT s.query_id, s.origin, s.destination, CASE WHEN t < 0.5 THEN a.source ELSE b.source END AS source, " + ", ".join(f"(1-t)*a.{c} + t*b.{c} AS {c}" for c in _ESTIMATED)
+        + " FROM sided s JOIN estimate a ON a.time_bin = low AND a.origin = s.origin AND a.destination = s.destination JOIN estimate b ON b.time_bin = high AND b.origin = s.origin AND b.destination = s.destination)",
+        "; ".join(_ESTIMATED),
+    ),
+    "od_lookup_fallbacks": _select("time_bin, origin, destination, source", "fallback", "; ".join((*_ESTIMATED, "floor_minutes"))),
+    "node_lookup": _select(
+        "query_id, zone_id", _NODES.format(", ".join(f"(1-t)*a.{c} + t*b.{c} AS {c}" for c in _NODE_NAMES)),
+        "minute; posterior; ratio competition_ratio; supply; node_confidence; revenue expected_driver_revenue; minutes expected_duration_min; dist expected_distance_miles; wait_high expected_wait; 1-exp(-15/wait_high) pickup_probability",
+    ),
+    "od_options": _select(
+        "query_id, origin, destination",
+        "(SELECT query_id, origin, destination, p/sum(p) OVER (PARTITION BY query_id) AS probability, r/p AS revenue, m/p AS minutes, d/p AS dist, c/p AS confidence FROM (SELECT (z.time_bin*1000 + z.zone_id)::BIGINT AS query_id, origin, destination, sum(w*p) AS p, sum(w*p*revenue) AS r, sum(w*p*minutes) AS m, sum(w*p*dist) AS d, sum(w*p*confidence) AS c"
+        " FROM grid z CROSS JOIN (VALUES (0, 8/15.0::DOUBLE), (1, 7/15.0::DOUBLE)) AS side(k, w) JOIN od ON od.origin = z.zone_id AND od.time_bin = (z.time_bin + k) % 96 GROUP BY ALL))",
+        "probability; revenue driver_revenue; minutes duration_min; dist distance_miles; confidence", 3,
+    ),
+    "bin_leaders": f"""{_CHAIN} SELECT time_bin, zone_id FROM (SELECT time_bin, zone_id, """
+    + ", ".join(f"row_number() OVER (PARTITION BY time_bin ORDER BY round({c} + 1.3e-9, 5) {o}, zone_id) AS k{i}" for i, (c, o) in enumerate((("posterior", "DESC"), ("revenue", "DESC"), ("wait_medium", "ASC"), ("1-exp(-15/wait_medium)", "DESC"), ("ratio", "ASC"))))
+    + " FROM full_nodes) WHERE least(k0, k1, k2, k3, k4) <= 12",
     "od_time_profile": _select("time_bin, origin, destination, n AS trip_count", "observed", "ar observed_avg_driver_revenue; am observed_avg_duration_min; ad observed_avg_distance_miles; sr observed_revenue_std; sm observed_duration_std; sd observed_distance_std"),
     "clean_trips_by_month": _select("source_month, count(*) AS trips, count(DISTINCT pickup_date) AS days", "clean GROUP BY source_month", "sum(revenue) revenue; avg(minutes) minutes; max(miles) longest"),
     "pickup_counts": _select("time_bin, zone_id, pickup_count", "picks"),
