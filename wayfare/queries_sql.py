@@ -283,3 +283,91 @@ ORACLES: dict[str, str] = {
         "minute; speed speed_at; rate rpm_at; least(greatest(speed-5*exp(-5/speed)/(1-exp(-5/speed)),0),5) wait_within_step; 1-exp(-5/speed) pickup_within_step; minute minute_again",
     ),
 }
+
+_KIND = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 WHEN 'view' THEN 16 END"
+
+_EVENTS = f"""
+WITH episodes AS (SELECT event_type AS algorithm, user_id AS scenario_id, sum(value) AS x, count(*) AS trips FROM events GROUP BY ALL),
+summary AS (
+  SELECT algorithm, count(*) AS episodes, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.1) AS worst, avg(trips) AS trips FROM episodes GROUP BY ALL),
+differences AS (SELECT a.algorithm, a.x - b.x AS d FROM episodes a JOIN episodes b USING (scenario_id) WHERE b.algorithm = 'view' AND a.algorithm <> 'view'),
+gains AS (
+  SELECT algorithm, count(*) AS pairs, avg(d) AS mean_gain, coalesce(stddev_samp(d), 0) AS std_gain, quantile_cont(d, 0.5) AS median_gain, avg((d > 1e-9)::DOUBLE) AS win_rate, avg((abs(d) <= 1e-9)::DOUBLE) AS tie_rate, avg((d < -1e-9)::DOUBLE) AS loss_rate
+  FROM differences GROUP BY ALL),
+scored AS (
+  SELECT e.*, abs(x - avg(x) OVER w)/greatest(1, stddev_samp(x) OVER w) + abs(trips - avg(trips) OVER w)/greatest(1, stddev_samp(trips) OVER w) AS score FROM episodes e WINDOW w AS (PARTITION BY algorithm)),
+daily AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS value FROM events GROUP BY ALL),
+totals AS (SELECT user_id, {_KIND} AS bit, sum(value) AS total FROM events WHERE {_KIND} IS NOT NULL GROUP BY ALL),
+masks AS (SELECT range AS mask FROM range(32)),
+worth AS (SELECT mask, sum(best) AS value FROM (SELECT mask, user_id, max(total) AS best FROM totals, masks WHERE (mask & bit) <> 0 GROUP BY ALL) GROUP BY ALL),
+coalitions AS (SELECT m.mask, coalesce(value, 0) AS value FROM masks m LEFT JOIN worth w ON w.mask = m.mask),
+players AS (SELECT CAST(range + 1 AS INT) AS player, 1::BIGINT << range AS bit FROM range(5)),
+marginals AS (SELECT player, a.mask, bit_count(a.mask) AS size, b.value - a.value AS marginal FROM coalitions a JOIN players p ON (a.mask & bit) = 0 JOIN coalitions b ON b.mask = a.mask | bit),
+shapley AS (SELECT player, sum(marginal * [24, 6, 4, 6, 24][size + 1] / 120.0::DOUBLE) AS shapley_value FROM marginals GROUP BY ALL),
+alone AS (SELECT player, marginal AS gain FROM marginals WHERE mask = 0),
+synergy AS (SELECT m.player, q.player AS partner, m.marginal - a.gain AS synergy FROM marginals m JOIN players q ON q.bit = m.mask JOIN alone a ON a.player = m.player),
+ranked AS (SELECT s.*, bit, row_number() OVER (ORDER BY shapley_value DESC, s.player) AS removed, sum(bit) OVER (ORDER BY shapley_value DESC, s.player ROWS UNBOUNDED PRECEDING) AS gone FROM shapley s JOIN players p ON p.player = s.player)
+"""
+
+
+def _events(columns: str, source: str, doubles: str = "", digits: int = 5) -> str:
+    return _EVENTS + _select(columns, source, doubles, digits).removeprefix(_CHAIN)
+
+
+_HELD = """(SELECT o_r AS r, o_m AS m, o_d AS d, (w2*tr + w3*xr + w4*p_r + 2*gr)/(w2 + w3 + w4 + 2) AS hr,
+  greatest(exp((w2*ln(tm) + w3*ln(xm) + w4*ln(p_m) + 2*ln(gm))/(w2 + w3 + w4 + 2)), 0.85*gm) AS hm, (w2*td + w3*xd + w4*p_d + 2*miles)/(w2 + w3 + w4 + 2) AS hd FROM od WHERE n > 0)"""
+
+
+def _errors(truth: str, held: str, source: str, by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    comma = f"{by}, " if by else ""
+    ranked = f"(SELECT {comma}{truth} AS t, {held} AS e, rank() OVER ({part} ORDER BY {truth}) + (count(*) OVER (PARTITION BY {comma}{truth}) - 1)/2.0 AS rt, rank() OVER ({part} ORDER BY {held}) + (count(*) OVER (PARTITION BY {comma}{held}) - 1)/2.0 AS re FROM {source})"
+    return f"(SELECT {comma}count(*) AS n, avg(abs(e - t)) AS mae, sqrt(avg((e - t)*(e - t))) AS rmse, avg(e - t) AS bias, 100*avg(CASE WHEN t <> 0 THEN abs((e - t)/t) END) AS mape, corr(rt, re) AS spearman FROM {ranked}{' GROUP BY ' + by if by else ''})"
+
+
+_METRICS = "mae; rmse; bias; mape; spearman"
+
+ORACLES |= {
+    "episode_summary": _events("algorithm, episodes, row_number() OVER (ORDER BY mean DESC, algorithm)::INT AS rank", "summary", "mean; std; median; worst worst_10_percent; trips mean_completed_trips; mean-1.96*std/sqrt(episodes) lower; mean+1.96*std/sqrt(episodes) upper"),
+    "paired_comparison": _events("algorithm, pairs, 'view' AS baseline", "gains", "mean_gain; std_gain; median_gain; win_rate; tie_rate; loss_rate; mean_gain-1.96*std_gain/sqrt(pairs) lower_gain; mean_gain+1.96*std_gain/sqrt(pairs) upper_gain"),
+    "summary_with_pairs": _events("s.algorithm, row_number() OVER (ORDER BY mean DESC, s.algorithm)::INT AS rank", "summary s LEFT JOIN gains g ON g.algorithm = s.algorithm", "mean; mean_gain; win_rate"),
+    "representative_episode": _events("algorithm, scenario_id, trips AS completed_trips", "(SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY score, scenario_id) AS k FROM scored) WHERE k = 1", "x net_earnings; score"),
+    "event_summary": _events("event_type, hour(ts)::INT AS hour, count(*) AS events", "events GROUP BY event_type, hour(ts)", "sum(value) total_value", 4),
+    "trip_count_distribution": _events("algorithm", "episodes GROUP BY algorithm", "quantile_cont(trips,0) low; quantile_cont(trips,0.25) q1; quantile_cont(trips,0.5) median; quantile_cont(trips,0.75) q3; quantile_cont(trips,1) high"),
+    "interval_bars": _events("algorithm", "summary", "mean; 1.96*std/sqrt(episodes) below; 1.96*std/sqrt(episodes) above"),
+    "smoothed_history": _events("event_type, day", "(SELECT *, avg(value) OVER (PARTITION BY event_type ORDER BY day ROWS 6 PRECEDING) AS smoothed FROM daily)", "value; smoothed", 4),
+    "shapley_values": _events("player", "shapley", "shapley_value", 4),
+    "pair_synergy": _events("player, partner", "(SELECT *, row_number() OVER (PARTITION BY player ORDER BY synergy DESC, partner) AS k FROM synergy) WHERE k = 1", "synergy", 4),
+    "ablation_summary": _events("'top' AS kind, removed::INT AS removed, 1::BIGINT AS n", "ranked r JOIN coalitions c ON c.mask = 31 - r.gone CROSS JOIN (SELECT value AS full_value FROM coalitions WHERE mask = 31)", "full_value-value mean_drop; 0.0::DOUBLE std_drop", 4),
+    "axiom_checks": _events(
+        "*", "(SELECT 'efficiency' AS axiom, CASE WHEN abs((SELECT sum(shapley_value) FROM shapley) - (SELECT max(CASE WHEN mask = 31 THEN value END) - max(CASE WHEN mask = 0 THEN value END) FROM coalitions)) <= 1e-4 THEN 'PASS' ELSE 'FAIL' END AS status"
+        " UNION ALL SELECT 'monotonicity', CASE WHEN (SELECT min(marginal) FROM marginals) >= -1e-4 THEN 'PASS' ELSE 'FAIL' END"
+        " UNION ALL SELECT 'dummy', CASE WHEN (SELECT coalesce(max(abs(shapley_value)), 0) FROM shapley WHERE player IN (SELECT player FROM marginals GROUP BY player HAVING max(abs(marginal)) <= 1e-4)) <= 1e-4 THEN 'PASS' ELSE 'FAIL' END"
+        " UNION ALL SELECT 'symmetry', CASE WHEN (SELECT coalesce(max(abs(a.shapley_value - b.shapley_value)), 0) FROM shapley a, shapley b WHERE a.player < b.player AND (SELECT max(abs(x.marginal - y.marginal)) FROM marginals x JOIN marginals y ON x.mask = y.mask WHERE x.player = a.player AND y.player = b.player) <= 1e-4) <= 1e-4 THEN 'PASS' ELSE 'FAIL' END)",
+    ),
+    "min_confidence_od": _select(
+        "time_bin, origin, destination",
+        "(SELECT time_bin, origin, destination, confidence, p/sum(p) OVER (PARTITION BY time_bin, origin) AS p FROM (SELECT *, max(confidence) OVER (PARTITION BY time_bin, origin) AS best, row_number() OVER (PARTITION BY time_bin, origin ORDER BY confidence DESC, destination) AS k FROM od) WHERE confidence >= 0.6 OR (k = 1 AND best < 0.6))",
+        "confidence; p destination_probability", 4,
+    ),
+    "revenue_what_if": _select("origin", "od GROUP BY origin", "sum(p*revenue*CASE_ONE) revenue; avg(dev*CASE_ONE) revenue_dev".replace("CASE_ONE", "(1+(origin=8)::INT*0.05::DOUBLE)")),
+    "competition_what_if": _select("competition_scenario", "(SELECT s AS competition_scenario, CASE s WHEN 'low' THEN wait_low WHEN 'medium' THEN wait_medium ELSE wait_high END AS w FROM nodes, (VALUES ('low'), ('medium'), ('high')) AS v(s)) GROUP BY competition_scenario", "avg(w) mean_wait; max(w) longest_wait"),
+    "bin_snapshot": _select("f.zone_id, z.zone_name, z.borough", "full_nodes f JOIN zones z ON z.zone_id = f.zone_id WHERE time_bin = 32", "posterior; supply; wait_medium expected_wait"),
+    "holdout_errors": _select(
+        "measure, n", "(" + " UNION ALL ".join(f"SELECT '{name}' AS measure, * FROM {_errors(t, h, _HELD)}" for name, t, h in (("revenue", "r", "hr"), ("minutes", "m", "hm"), ("miles", "d", "hd"))) + ")", _METRICS, 4,
+    ),
+    "holdout_tail_errors": _select(
+        "quartile, n",
+        _errors("t", "hm", f"(SELECT *, CASE WHEN t <= q1 THEN 'Q1' WHEN t <= q2 THEN 'Q2' WHEN t <= q3 THEN 'Q3' ELSE 'Q4' END AS quartile FROM (SELECT round(m, 6) AS t, hm FROM {_HELD}) CROSS JOIN (SELECT quantile_cont(round(m, 6), 0.25) AS q1, quantile_cont(round(m, 6), 0.5) AS q2, quantile_cont(round(m, 6), 0.75) AS q3 FROM {_HELD}))", "quartile"),
+        _METRICS, 4,
+    ),
+    "competition_trend": _select(
+        "algorithm, greatest(m - l, h - m) <= 1e-9 AS non_increasing",
+        "(SELECT z.borough AS algorithm, avg(1-exp(-15/wait_low)) AS l, avg(1-exp(-15/wait_medium)) AS m, avg(1-exp(-15/wait_high)) AS h FROM nodes n JOIN zones z ON z.zone_id = n.zone_id GROUP BY z.borough)", "m-l low_to_medium; h-m medium_to_high",
+    ),
+    "baseline_agreement": f"""{_CHAIN}, kinds AS (
+  SELECT 'demand' AS kind, zone_id, round(posterior, 6) AS value FROM full_nodes WHERE time_bin = 32 UNION ALL SELECT 'income', zone_id, round(revenue, 6) FROM full_nodes WHERE time_bin = 32 UNION ALL SELECT 'wait', zone_id, round(wait_medium, 6) FROM full_nodes WHERE time_bin = 32),
+ranks AS (SELECT *, rank() OVER (PARTITION BY kind ORDER BY value) + (count(*) OVER (PARTITION BY kind, value) - 1)/2.0 AS r, row_number() OVER (PARTITION BY kind ORDER BY value DESC, zone_id) AS k FROM kinds)
+SELECT a.kind AS kind_a, b.kind AS kind_b, round(corr(a.r, b.r) + 1.3e-9, 5) AS spearman, round(sum((a.k <= 5 AND b.k <= 5)::INT)/sum((a.k <= 5 OR b.k <= 5)::INT)::DOUBLE + 1.3e-9, 5) AS jaccard
+FROM ranks a JOIN ranks b ON a.zone_id = b.zone_id AND a.kind < b.kind GROUP BY ALL""",
+}
