@@ -90,7 +90,8 @@ def divergence_rules(docs: DataFrame) -> DataFrame:
     per = words.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(word, {TRACKED_WORDS})").alias("sketch"))
     per = cut(per)
     top = lambda sketch: F.transform(F.expr(f"approx_top_k_estimate({sketch}, {TOP_WORDS})"), lambda x: x["item"])
-    everywhere = per.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED_WORDS})").alias("sketch")).select(F.lit(None).cast("string").alias("key"), top("sketch").alias("top"))
+    # a grouping with one group: without any, a task without rows fails to write its empty sketch
+    everywhere = per.groupBy((F.col("n") > 0).alias("any")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED_WORDS})").alias("sketch")).select(F.lit(None).cast("string").alias("key"), top("sketch").alias("top"))
     tops = cut(per.filter(F.col("lang").isNotNull() & (F.col("n") >= REFERENCE_WORDS)).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select(F.col("lang").alias("key"), top("sketch").alias("top")).unionByName(everywhere))
     known = tops.select("key").distinct()
 
