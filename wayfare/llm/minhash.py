@@ -102,13 +102,17 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(least: int):
-    """Rows of two blocks of classes to their pairs across components that have enough equal places."""
+    """Rows of two blocks of a bucket to their pairs across components that have enough equal places.
+
+    A pair that shares several buckets is given in the first of its bands only.
+    """
     words = FINE // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (a, of_a, _, x), (b, of_b, major_b, y) = (_block(batch.column(c)[k].values) for c in (0, 1))
+                bucket = batch.column(0)[k].as_py()
+                (a, of_a, _, x, bands_a), (b, of_b, major_b, y, bands_b) = (_block(batch.column(c)[k].values) for c in (1, 2))
                 for i in range(0, len(a), 64):
                     own = slice(i, i + 64)
                     wanted = (of_a[own, None] != of_b[None, :]) & (major_b[None, :] | (a[own, None] < b[None, :]))
@@ -119,15 +123,19 @@ def _crossing(least: int):
                         differ |= x[own, None, p * words : (p + 1) * words] ^ y[None, :, p * words : (p + 1) * words]
                     equal = FINE - np.bitwise_count(differ).sum(axis=2, dtype=np.int32)
                     r, c = np.nonzero(wanted & (equal >= least))
+                    first = (bands_a[own][r] == bands_b[c]).argmax(axis=1)
+                    here = bands_a[own][r, first] == bucket
+                    r, c = r[here], c[here]
                     yield pa.RecordBatch.from_arrays([pa.array(a[own][r]), pa.array(b[c]), pa.array(equal[r, c], pa.int32())], names=["a", "b", "equal"])
 
     return run
 
 
 def _block(values: pa.StructArray) -> tuple[np.ndarray, ...]:
-    """ids, components, whether in the bucket's largest component, planes."""
+    """ids, components, whether in the bucket's largest component, planes, bands."""
     ids, of, major = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    return ids, of, major.astype(bool), values.field(3).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    planes, bands = (values.field(k).flatten().to_numpy().reshape(len(ids), -1) for k in (3, 4))
+    return ids, of, major.astype(bool), planes.view(np.uint64), bands
 
 
 def equal_places(x: Column, y: Column) -> Column:
@@ -167,9 +175,8 @@ def _verify(limit: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are as similar as the limit asks."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+def verified(pairs: DataFrame, text: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are as similar as the limit asks; text: doc_id, text."""
     wide = pairs.select("a", "b").join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a")
     return wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify(limit), "a long, b long").distinct()
 
@@ -185,10 +192,13 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     member = reps.select("doc_id", F.explode("bands").alias("bucket"))
     stars = member.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last").drop("last")
-    stars = member.join(stars, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = cut(member.join(stars, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    # texts of all that share a bucket, once: later steps read these
+    sharing = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sharing, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     plane = reps.select(F.col("doc_id").alias("a"), F.col("planes").alias("x"))
     stars = stars.join(plane, "a").join(plane.toDF("b", "y"), "b").filter(equal_places(F.col("x"), F.col("y")) >= least)
-    links = cut(verified(stars, docs, limit))
+    links = cut(verified(stars, texts, limit))
     found = components(links)
 
     # buckets that still hold several components
@@ -197,16 +207,16 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     mixed = kinds.filter("kinds > 1").select("bucket", "n", (F.col("n") - F.col("most.n")).alias("n_minor"), F.col("most.component").alias("major"))
     inside = cut(here.join(mixed, "bucket"))
     again = inside.select("doc_id").distinct()
-    fine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    inside = inside.join(cut(fine.mapInArrow(_fine, "doc_id long, planes array<long>")), "doc_id")
-    one = F.struct("doc_id", "component", (F.col("component") == F.col("major")).alias("is_major"), "planes")
+    fine = texts.join(again, "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, planes array<long>")
+    inside = inside.join(cut(fine.join(reps.select("doc_id", "bands"), "doc_id")), "doc_id")
+    one = F.struct("doc_id", "component", (F.col("component") == F.col("major")).alias("is_major"), "planes", "bands")
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK))
         return rows.groupBy("bucket", block.alias(f"block_{name}")).agg(F.collect_list(one).alias(name))
 
     facing = blocks(inside.filter("component <> major"), "n_minor", "a").join(blocks(inside, "n", "b"), "bucket")
-    crossing = facing.select("a", "b").mapInArrow(_crossing(least_equal(limit, FINE)), "a long, b long, equal int")
+    crossing = facing.select("bucket", "a", "b").mapInArrow(_crossing(least_equal(limit, FINE)), "a long, b long, equal int")
     untested = cut(crossing.groupBy("a", "b").agg(F.max("equal").alias("equal")))
     many = FIRST_ROUND
     while not untested.isEmpty():
@@ -214,7 +224,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         at = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
         apart = untested.join(at, "a", "left").join(at.toDF("b", "of_b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "equal")
         ranked = cut(apart.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("equal"), "b"))))
-        more = cut(verified(ranked.filter(F.col("rank") <= many), docs, limit))
+        more = cut(verified(ranked.filter(F.col("rank") <= many), texts, limit))
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
