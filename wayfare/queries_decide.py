@@ -189,13 +189,15 @@ def holdout_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of all observed cells rebuilt without their own value, by measure."""
     held = studies.holdout_reconstruct(model(spark, sf_dir).od.filter("observed_trip_count > 0"))
     pairs = {"revenue": ("observed_avg_driver_revenue", "held_revenue"), "minutes": ("observed_avg_duration_min", "held_minutes"), "miles": ("observed_avg_distance_miles", "held_miles")}
+    held = held.withColumns({c: F.round(c, 6) for p in pairs.values() for c in p})  # equal up to the order of sums
     return rounded(reduce(DataFrame.unionByName, (studies.error_metrics(held, *p).withColumn("measure", F.lit(k)) for k, p in pairs.items())), 4)
 
 
 @query
 def holdout_tail_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = studies.holdout_reconstruct(model(spark, sf_dir).od.filter("observed_trip_count > 0"))
-    return rounded(studies.tail_metrics(held.withColumn("truth", F.round("observed_avg_duration_min", 6)), "truth", "held_minutes"), 4)
+    held = held.withColumns({"truth": F.round("observed_avg_duration_min", 6), "held_minutes": F.round("held_minutes", 6)})
+    return rounded(studies.tail_metrics(held, "truth", "held_minutes"), 4)
 
 
 @query

@@ -314,8 +314,8 @@ def _events(columns: str, source: str, doubles: str = "", digits: int = 5) -> st
     return _EVENTS + _select(columns, source, doubles, digits).removeprefix(_CHAIN)
 
 
-_HELD = """(SELECT o_r AS r, o_m AS m, o_d AS d, (w2*tr + w3*xr + w4*p_r + 2*gr)/(w2 + w3 + w4 + 2) AS hr,
-  greatest(exp((w2*ln(tm) + w3*ln(xm) + w4*ln(p_m) + 2*ln(gm))/(w2 + w3 + w4 + 2)), 0.85*gm) AS hm, (w2*td + w3*xd + w4*p_d + 2*miles)/(w2 + w3 + w4 + 2) AS hd FROM od WHERE n > 0)"""
+_HELD = """(SELECT round(o_r, 6) AS r, round(o_m, 6) AS m, round(o_d, 6) AS d, round((w2*tr + w3*xr + w4*p_r + 2*gr)/(w2 + w3 + w4 + 2), 6) AS hr,
+  round(greatest(exp((w2*ln(tm) + w3*ln(xm) + w4*ln(p_m) + 2*ln(gm))/(w2 + w3 + w4 + 2)), 0.85*gm), 6) AS hm, round((w2*td + w3*xd + w4*p_d + 2*miles)/(w2 + w3 + w4 + 2), 6) AS hd FROM od WHERE n > 0)"""
 
 
 def _errors(truth: str, held: str, source: str, by: str = "") -> str:
