@@ -221,7 +221,7 @@ def od_lookup_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = TripModel(m.trips, m.zones, m.adjacency)
     part.__dict__.update(observed=some(m.observed), pairs=some(m.pairs), profiles=m.profiles, gravity=m.gravity, calibration=m.calibration, near=m.near, routes=m.routes)
     cells = space.zone_pairs(m.zones).select("origin", "destination").join(m.profiles.select("time_bin"), how="cross")
-    return rounded(look.estimate_od_bin(cells, part, direct=False))
+    return rounded(look.estimate_od_bin(cells, part, direct=False), 3)
 
 
 @query

@@ -236,7 +236,7 @@ ORACLES: dict[str, str] = {
         + " FROM sided s JOIN estimate a ON a.time_bin = low AND a.origin = s.origin AND a.destination = s.destination JOIN estimate b ON b.time_bin = high AND b.origin = s.origin AND b.destination = s.destination)",
         "; ".join(_ESTIMATED),
     ),
-    "od_lookup_fallbacks": _select("time_bin, origin, destination, source", "fallback", "; ".join((*_ESTIMATED, "floor_minutes"))),
+    "od_lookup_fallbacks": _select("time_bin, origin, destination, source", "fallback", "; ".join((*_ESTIMATED, "floor_minutes")), 3),
     "node_lookup": _select(
         "query_id, zone_id", _NODES.format(", ".join(f"(1-t)*a.{c} + t*b.{c} AS {c}" for c in _NODE_NAMES)),
         "minute; posterior; ratio competition_ratio; supply; node_confidence; revenue expected_driver_revenue; minutes expected_duration_min; dist expected_distance_miles; wait_high expected_wait; 1-exp(-15/wait_high) pickup_probability",
