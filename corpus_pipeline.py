@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from wayfare.llm import decontaminate, minhash, packing, repeats, site_quality
 from wayfare.llm.common import cut, table
 
+#: A repeated passage has so many words, and at least so many bytes: letters and the blanks between them.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
+
 #: Learned weights, minima and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -30,8 +34,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings that come again go; a document of which nothing but blanks is left goes."""
-    return repeats.without_repeats(docs)
+    """Passages of over 50 words that come again go, every copy; a document of which nothing but blanks is left goes."""
+    return repeats.without_repeats(docs, PASSAGE_BYTES, words=PASSAGE_WORDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

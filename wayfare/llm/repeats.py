@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import RollingHash, byte_slices, cut, prepare, text_bytes
+from wayfare.llm.common import SPACE, RollingHash, byte_slices, cut, find_words, prepare, text_bytes
 
 LENGTH, GRAM = 400, 32
 #: Differing segments of an anchor that are indexed in one place.
@@ -206,13 +206,13 @@ class RunIndex:
         return np.maximum(reach.max(axis=0) - np.arange(self.size), 0)
 
 
-def _runs(covered_from: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes under strings that start at the given sorted places."""
-    gap = np.flatnonzero(np.diff(covered_from) > length)
+def _runs(covered_from: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bytes under strings that start at the given sorted places, each at most step bytes after the one before."""
+    gap = np.flatnonzero(np.diff(covered_from) > step)
     return covered_from[np.append(0, gap + 1)], covered_from[np.append(gap, len(covered_from) - 1)] + length
 
 
-def _indexed(length: int):
+def _indexed(length: int, step: int):
     """Rows (row, doc_id, start, anchor, open, bytes) sorted by anchor, to marks of the open ones."""
 
     def marks(group: list[tuple]) -> list[tuple]:
@@ -223,7 +223,7 @@ def _indexed(length: int):
             if g[4]:
                 places = np.flatnonzero(long[at : at + len(g[5])])
                 if len(places):
-                    out += [(g[0], g[1], g[2] + a, g[2] + b) for a, b in zip(*(x.tolist() for x in _runs(places, length)), strict=True)]
+                    out += [(g[0], g[1], g[2] + a, g[2] + b) for a, b in zip(*(x.tolist() for x in _runs(places, length, step)), strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def _packed(length: int, parts: int):
     return run
 
 
-def _met_twice(length: int):
+def _met_twice(length: int, step: int):
     def marks(group: list[dict]) -> pa.RecordBatch:
         hashes = np.concatenate([np.frombuffer(g["hashes"], np.uint64) for g in group])
         base = np.cumsum([0, *(len(g["ids"]) for g in group)])
@@ -287,7 +287,7 @@ def _met_twice(length: int):
         segment, start = segment[twice][by], start[twice][by]
         out = []
         if len(segment):
-            edge = np.flatnonzero((np.diff(segment) != 0) | (np.diff(start) > length))
+            edge = np.flatnonzero((np.diff(segment) != 0) | (np.diff(start) > step))
             for a, b in zip(np.append(0, edge + 1).tolist(), np.append(edge, len(segment) - 1).tolist(), strict=True):
                 out.append((int(rows[segment[a]]), ids[segment[a]], int(start[a]), int(start[b]) + length))
         return _mark_batch(out)
@@ -324,8 +324,12 @@ def _bytes_of(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """Marks (row, doc_id, start, end) over the bytes to remove; rows: row, doc_id, text. Marks may overlap."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, step: int | None = None) -> DataFrame:
+    """Marks (row, doc_id, start, end) over the bytes to remove; rows: row, doc_id, text. Marks may overlap.
+
+    Repeated strings whose starts are up to step bytes apart share a mark: all that overlap or meet if it isn't given.
+    """
+    step = step or length
     segments = cut(rows.mapInArrow(_segments(length), SEGMENTS))
     anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("any_again")).filter("n > 1 or any_again").select("anchor")
     shared = cut(segments.join(anchors, "anchor"))
@@ -347,9 +351,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST) -> D
         if many:
             parts = 1 + size * 20 // PACKED_BYTES
             packed = with_bytes.mapInArrow(_packed(length, parts), "part int, hashes binary, segment binary, start binary, rows binary, ids array<long>")
-            marks = marks.union(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met_twice(length), MARKS))
+            marks = marks.union(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met_twice(length, step), MARKS))
         else:
-            marks = marks.union(with_bytes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length), MARKS))
+            marks = marks.union(with_bytes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
     return marks
 
 
@@ -388,10 +392,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     return rows.join(marks, "row", "left").select("row", "doc_id", "text", "marks").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+def _long_only(data: bytes, marks: pa.Scalar, length: int, words: int) -> pa.Scalar:
+    """Of a text's marks, as runs of starts that follow each other, those of LENGTH bytes or of that many whole words."""
+    if not marks.is_valid:
+        return marks
+    s, e = np.asarray(marks.values.field(0)), np.asarray(marks.values.field(1))
+    by = np.argsort(s, kind="stable")
+    s, e = s[by], np.maximum.accumulate(e[by])
+    new = np.append(True, s[1:] > e[:-1] - length + 1)
+    s, e = s[new], e[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
+    first, last, _ = find_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), SPACE)
+    whole = np.searchsorted(last, e, "right") - np.searchsorted(first, s)
+    long = (whole >= words) | (e - s >= LENGTH)
+    runs = [{"start": a, "end": b} for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True)]
+    return pa.scalar(runs or None, marks.type)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, words: int = 0) -> DataFrame:
     """docs with what is left of each text; bytes of letters cut in two go, and rows that lose all but blanks.
 
-    An n_chars column is counted anew.
+    With words, a repeated run goes only if it has so many whole words, or LENGTH bytes (long words, or writing without
+    spaces). An n_chars column is counted anew.
     """
     names = docs.columns
     schema = docs.schema
@@ -399,14 +420,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old, marks = batch.column(names.index("text")).to_pylist(), batch.column(len(names))
+            if words:
+                marks = [_long_only(t.encode(), m, length, words) for t, m in zip(old, marks, strict=True)]
             text = pa.array([_without(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(old, marks, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(k) for k, n in enumerate(names)], names=names)
 
     rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     prepare(docs.sparkSession)
-    spans = repeated_spans(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, most)
-    marks = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
-    joined = rows.join(marks, rows["_row"] == marks["row"], "left")
+    spans = repeated_spans(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, most, 1 if words else None)
+    marks = spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
+    joined = rows.join(marks, "_row", "left")
     whole = joined.filter("_marks is null").select(names)
     changed = joined.filter("_marks is not null").select(*names, "_marks").mapInArrow(run, schema).filter(F.trim("text") != "")
     if "n_chars" in names:
