@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from wayfare.llm import decontaminate, minhash, packing, repeats, site_quality
 from wayfare.llm.common import cut, table
 
+#: Near-duplicates share 80 percent of their shingles or more.
+NEAR_PERCENT = 80
 #: A repeated passage has so many words, and at least so many bytes: letters and the blanks between them.
 PASSAGE_WORDS = 51
 PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
@@ -28,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays; rows without an id stay."""
-    verdict = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    verdict = minhash.near_duplicates(docs, NEAR_PERCENT).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     with_id = docs.filter("doc_id is not null").join(verdict, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.filter("doc_id is null"))
 

@@ -7,6 +7,7 @@ import re
 
 import corpus_pipeline
 from conftest import SMALL
+from wayfare.llm import minhash
 
 #: 51 one-letter words are the shortest passage of over 50 words: 101 bytes.
 SHORT = " ".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=51))
@@ -60,3 +61,44 @@ def test_suffix_stage_removes_long_repeats_of_few_words(spark, docs_of):
     long = "".join(map(str, range(200)))
     got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs_of([(1, f"{filler(1)} {long}"), (2, f"{filler(2)} {long}")]), SMALL).collect()}
     assert long[:200] not in got[1] + got[2]
+
+
+def near_groups(rows, limit):
+    """Least id of each document's component, from all pairs of shingle sets."""
+    sets = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    of = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= limit * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((of[a], of[b]))
+                of = {i: x if c == y else c for i, c in of.items()}
+    return of
+
+
+def test_minhash_stage_links_from_80_percent(spark, docs_of):
+    """Pairs of 180 shingles of which 160 are shared (0.80) or 159 (under it), and those of the small table."""
+    rows = []
+    for k in range(40):
+        words = [f"g{k}w{j}" for j in range(184)]
+        shared = 160 if k % 4 else 159
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join([*words[: shared + 4], *(f"h{k}w{j}" for j in range(180 - shared))]))]
+    want = near_groups(rows, 80)
+    assert len(set(want.values())) == 50 and len(set(near_groups(rows, 85).values())) == 80
+    got = {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs_of(rows), SMALL).collect()}
+    assert got == set(want.values())
+
+
+def test_minhash_stage_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = near_groups([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, SMALL).collect()} == set(want.values())
+
+
+def test_bands_follow_the_limit():
+    assert minhash.bands_of(85) == 25
+    for limit in (70, 80, 85, 95):
+        assert (1 - (limit / 100) ** minhash.ROWS) ** minhash.bands_of(limit) < 5e-7

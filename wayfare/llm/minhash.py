@@ -10,7 +10,8 @@ held against the bucket's classes of other components, by a finer signature of F
 so that families of texts just below the limit don't all come through. Those that remain are compared, likeliest first,
 until none is left untested: no link between components is lost, and no group is spread into all its pairs.
 
-A link of 0.85 is missed by all bands with a chance of (1 - 0.85**ROWS)**BANDS, about 4e-7.
+The bands are as many as the limit asks: a link of just the limit is missed by all of them with a chance of
+(1 - limit**ROWS)**bands, about 4e-7. At 0.85 they are 25, at 0.80 they are 37.
 
 Defined results: null or blank text has an empty set and no link; rows with a null doc_id are linked with nothing, their
 component is null and they are kept; repeated rows are a class; an empty table gives no rows; columns besides doc_id and
@@ -30,7 +31,9 @@ from pyspark.sql.window import Window
 from wayfare.llm.common import byte_slices, cut, digest_pairs, mix, prepare, shingles
 from wayfare.llm.components import components
 
-HASHES, FINE, BANDS, ROWS, BITS = 128, 768, 25, 5, 4
+HASHES, FINE, ROWS, BITS = 128, 768, 5, 4
+#: Chance at most that no band holds a link of just the limit.
+MISSED = 4.5e-7
 #: Links: 100 * intersection >= LIMIT * union.
 LIMIT = 85
 #: Standard deviations below the expected count of equal places at which a candidate still counts.
@@ -41,6 +44,8 @@ FIRST_ROUND = 64
 BLOCK = 512
 
 _MULTIPLIERS = np.random.RandomState(23).randint(1, 1 << 62, HASHES + FINE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Minima of bands beyond the first HASHES, so that the fine signature stays independent of the bands.
+_MORE = np.random.RandomState(29).randint(1, 1 << 62, 4096).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("planes", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
@@ -51,6 +56,14 @@ def least_equal(limit: int = LIMIT, hashes: int = HASHES) -> int:
     return int(np.floor(hashes * p - SLACK * (hashes * p * (1 - p)) ** 0.5))
 
 
+def bands_of(limit: int = LIMIT) -> int:
+    """Bands of ROWS minima that miss a link of the limit with a chance of MISSED at most."""
+    bands = int(np.ceil(np.log(MISSED) / np.log1p(-((limit / 100) ** ROWS)))) if limit < 100 else 1
+    if bands * ROWS > HASHES + len(_MORE):
+        raise ValueError(f"a limit of {limit} asks for {bands} bands")
+    return bands
+
+
 def minima(values: np.ndarray, at: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     """Rows of minima, one row per text; no text may be empty."""
     out = np.empty((len(multipliers), len(at) - 1), np.uint64)
@@ -72,27 +85,33 @@ def _list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    for batch in byte_slices(batches, 1):
-        values, at = shingles(batch.column(1))
-        digests = np.zeros((batch.num_rows, 3), np.int64)
-        for k in np.flatnonzero(np.diff(at)):
-            own = np.unique(values[at[k] : at[k + 1]])
-            digests[k] = (len(own), *digest_pairs(own))
-        full = np.flatnonzero(np.diff(at))
-        planes, bands = np.zeros((batch.num_rows, 2 * BITS), np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
-        if len(full):
-            least = minima(values, np.append(at[full], at[-1]), _MULTIPLIERS[:HASHES])
-            planes[full] = bit_planes(least)
-            terms = least[:, : BANDS * ROWS] * weights
-            bands[full] = mix(terms.reshape(len(full), BANDS, ROWS).sum(axis=2, dtype=np.uint64))
-        columns = [batch.column(0), *(pa.array(digests[:, k]) for k in range(3)), _list_column(planes), _list_column(bands)]
-        yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
+def _signatures(n_bands: int):
+    places = n_bands * ROWS
+    multipliers = np.append(_MULTIPLIERS[:HASHES], _MORE[: max(places - HASHES, 0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = mix(np.arange(1, places + 1, dtype=np.uint64)) | np.uint64(1)
+        for batch in byte_slices(batches, 1):
+            values, at = shingles(batch.column(1))
+            digests = np.zeros((batch.num_rows, 3), np.int64)
+            for k in np.flatnonzero(np.diff(at)):
+                own = np.unique(values[at[k] : at[k + 1]])
+                digests[k] = (len(own), *digest_pairs(own))
+            full = np.flatnonzero(np.diff(at))
+            planes, bands = np.zeros((batch.num_rows, 2 * BITS), np.uint64), np.zeros((batch.num_rows, n_bands), np.uint64)
+            if len(full):
+                least = minima(values, np.append(at[full], at[-1]), multipliers)
+                planes[full] = bit_planes(np.ascontiguousarray(least[:, :HASHES]))
+                terms = least[:, :places] * weights
+                bands[full] = mix(terms.reshape(len(full), n_bands, ROWS).sum(axis=2, dtype=np.uint64))
+            columns = [batch.column(0), *(pa.array(digests[:, k]) for k in range(3)), _list_column(planes), _list_column(bands)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
+
+    return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, planes array<long>, bands array<long>")
+def signatures(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(bands_of(limit)), "doc_id long, n_shingles long, set_a long, set_b long, planes array<long>, bands array<long>")
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +204,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     prepare(docs.sparkSession)
     least = least_equal(limit)
-    signed = cut(signatures(docs))
+    signed = cut(signatures(docs, limit))
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = cut(sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "planes", "bands"))
