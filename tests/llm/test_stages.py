@@ -7,7 +7,7 @@ import re
 
 import corpus_pipeline
 from conftest import SMALL
-from wayfare.llm import minhash
+from wayfare.llm import minhash, passages
 
 #: 51 one-letter words are the shortest passage of over 50 words: 101 bytes.
 SHORT = " ".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=51))
@@ -102,3 +102,24 @@ def test_bands_follow_the_limit():
     assert minhash.bands_of(85) == 25
     for limit in (70, 80, 85, 95):
         assert (1 - (limit / 100) ** minhash.ROWS) ** minhash.bands_of(limit) < 5e-7
+
+
+def test_passages_of_short_lines_are_removed(docs_of):
+    """A verse of lines of four words and fewer."""
+    verse = "\n".join(f"verse{k} goes on{k}" if k % 2 else f"line{k} of four words{k}" for k in range(15))
+    rows = [(k, f"{filler(k)}\n{verse}\n{filler(k + 50)}") for k in range(3)]
+    got = {r.doc_id: r for r in passages.remove_passages(docs_of(rows)).collect()}
+    assert got[0].n_removed == 0 and got[0].kept_text == rows[0][1]
+    for k in (1, 2):
+        assert got[k].n_words_removed == len(verse.split())
+        assert got[k].kept_text.split() == [*filler(k).split(), *filler(k + 50).split()]
+
+
+def test_passages_leave_short_lines_between_repeats(docs_of):
+    """Lines that occur once stay, though repeats stand before and after them; all words removed are counted."""
+    head, foot = filler(900, 30), filler(901, 30)
+    rows = [(k, f"{head}\n" + "\n".join(f"only{k} line{j}" for j in range(20)) + f"\n{foot}") for k in range(4)]
+    got = {r.doc_id: r for r in passages.remove_passages(docs_of(rows)).collect()}
+    for k, text in rows:
+        assert len(text.split()) - len(got[k].kept_text.split()) == got[k].n_words_removed == (60 if k else 0)
+        assert all(f"only{k} line{j}" in got[k].kept_text for j in range(20))
