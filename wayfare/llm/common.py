@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+from wayfare.sources.lineage import discard, settle, shared_dir  # noqa: F401  for the operators
+
+#: Rows and bytes of an Arrow batch. Texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+
+#: Later steps start from files in the shared folder.
+cut = settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,32 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key) != str(value):
+            spark.conf.set(key, str(value))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="wayfare-")
-        sc.setCheckpointDir(named)
-    return named
+def row_key(*columns: Column | str) -> Column:
+    """128 bits that stand for a row; equal rows share them."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts).cast("binary")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them back: later steps start from the files.
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """One column, `doc`, that holds all columns of docs, so that no name of a caller's column meets one used inside."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
 
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfare-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+
+def with_text(names: list[str], text: Column) -> Column:
+    """`doc` with another text; an n_chars field is counted anew."""
+    changed = F.col("doc").withField("text", text)
+    return changed.withField("n_chars", F.length(text).cast("long")) if "n_chars" in names else changed
 
 
 # ---------------------------------------------------------------- text as bytes
