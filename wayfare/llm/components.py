@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut
+from wayfare.llm.common import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("node"), F.col("m").alias("component")).filter("node <> component").union(lower)
-        edges, before = cut(small.distinct()), mark
+        older, edges, before = edges, cut(small.distinct()), mark
+        discard(older)
         mark = _mark(edges)
         if mark == before:
             break
