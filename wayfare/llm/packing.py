@@ -13,39 +13,43 @@ rows; columns besides doc_id and text are ignored; null doc_id stays null.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import cut, prepare
+from wayfare.llm.common import LOWER, SPACE, RollingHash, byte_slices, cut, prepare, text_bytes
 
 CAPACITY, END_ID, OPEN_BINS = 4096, 1, 48
 #: Tokens that one task of the second round takes.
 SECOND_ROUND_TOKENS = 4_000_000
 #: Words that a worker keeps with their ids before it begins anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-#: Letters and the punctuation after them are tokens of their own, so both are looked up apart. No apostrophe: 's is one.
-_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?#*$%&|()-]+)")
+#: Bytes of ASCII letters in lower case, and of ASCII punctuation but for the apostrophe, which may begin a token ('s).
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_POINT[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: Strings that are tokens of their own wherever they stand; texts that hold one are encoded whole.
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
 class WordTokens:
     """Token ids of whole texts, word by word.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its words in order. It
-    lower-cases as well, so A-Z are lower-cased first. Each word is encoded by the tokenizers library once and kept in
-    flat arrays; words that only differ in the punctuation after them share their letters' ids.
+    The vocabulary drops white space and never joins across it, nor letters with punctuation, so a text's ids are those of
+    these words in order. It lower-cases as well, so A-Z are lower-cased first. Words are told apart by their hash, length
+    and first eight bytes; each is encoded by the tokenizers library once and kept in flat arrays. Letters U+00C0 to
+    U+00FF count as letters like a to z; words of letters alone, or of punctuation alone, are one unit to the tokenizer
+    each and are encoded many at a time: a token that ends a word tells where.
     """
 
     def __init__(self, path: str):
@@ -53,50 +57,108 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.begin, self.size = array("I"), array("q"), array("q")
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.known[word] = len(self.begin)
-        self.begin.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-
-    def _learn(self, words: list[str]) -> None:
-        ended, plain = [], []
-        for w in words:
-            if m := _ENDED.fullmatch(w):
-                ended.append((w, *m.groups()))
-            else:
-                plain.append(w)
-        parts = {p for _, *pair in ended for p in pair if p not in self.known}
-        plain = [*{*plain} | parts]
-        for w, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-            self._keep(w, e.ids)
-        for w, letters, points in ended:
-            self._keep(w, [i for p in (letters, points) for i in self.ids[self.begin[self.known[p]] : self.begin[self.known[p]] + self.size[self.known[p]]]])
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts and ends of words in lower-cased bytes, the n + 1 offsets of the texts in them, and whether each is one unit."""
+        n = len(data)
+        after = np.append(data[1:], np.uint8(0))
+        high = (data == 0xC3) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)  # no signs for times and division
+        letter = _LETTER[data] | high
+        letter[1:] |= high[:-1]
+        point, inside = _POINT[data], ~SPACE[data]
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | (letter[1:] & point[:-1]) | (point[1:] & letter[:-1])
+        edges = offsets[(offsets > 0) & (offsets < n)]
+        new[edges] = inside[edges]
+        starts = np.flatnonzero(new)
+        stops = np.append(new[1:] | ~inside[1:], True) & inside
+        ends = np.flatnonzero(stops) + 1
+        kinds = np.zeros((2, n + 1), np.int64)
+        np.cumsum(letter, out=kinds[0, 1:])
+        np.cumsum(point, out=kinds[1, 1:])
+        return starts, ends, np.searchsorted(starts, offsets), (kinds[:, ends] - kinds[:, starts]).max(axis=0, initial=0) == ends - starts
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words one after the other, and each word's count."""
+        order = np.argsort(~unit, kind="stable")
+        size, plain = (ends - starts)[order] + 1, int(unit.sum())
+        at = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(starts[order] - at[:-1], size) + np.arange(at[-1])
+        joined = np.append(data, np.uint8(0))[np.minimum(take, len(data))]
+        joined[at[1:] - 1] = 0x20
+        text = joined.tobytes()
+        edge = [*range(0, plain, 5000), plain]
+        parts, counts = [], []
+        for ids, a, b in zip(self.whole([text[at[a] : at[b]].decode() for a, b in zip(edge, edge[1:])]), edge, edge[1:]):
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != b - a:
+                raise ValueError("a word of letters has several ends")
+            parts.append(ids)
+            counts.append(np.diff(stop, prepend=0))
+        rest = self.whole([text[at[k] : at[k + 1] - 1].decode() for k in range(plain, len(order))])
+        ids = np.concatenate([*parts, *rest, np.zeros(0, np.uint32)])
+        count = np.concatenate([*counts, np.array([len(r) for r in rest], np.int64)]).astype(np.int64)
+        begin = np.cumsum(count) - count
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        take = np.repeat(begin[back] - (np.cumsum(count[back]) - count[back]), count[back]) + np.arange(len(ids))
+        return ids[take], count[back]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n + 1 offsets of the texts in them."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
-        at = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values[at[0] : at[-1]].dictionary_encode()
-        at = at - at[0]
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS or len(self.ids) > 8 * CACHED_WORDS:
+        """All ids, and the n + 1 offsets of the texts in them; null is empty."""
+        raw, offsets = text_bytes(column)
+        data = LOWER[raw]
+        if any(x in data.tobytes() for x in _SPECIAL):
+            return self._apart(column)
+        starts, ends, at, unit = self.words(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), at * 0
+        hashes = RollingHash(data).ranges(starts, ends)
+        eight = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))[starts]
+        size = ends - starts
+        checks = (eight << (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        unique, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_WORDS:
             self.forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        of = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        size = np.frombuffer(self.size, np.int64)[of] if words else of
-        ends = np.concatenate([[0], np.cumsum(size)])
-        if not ends[-1]:
-            return np.zeros(0, np.uint32), ends[at]
-        take = np.repeat(np.frombuffer(self.begin, np.int64)[of] - ends[:-1], size) + np.arange(ends[-1])
-        return np.frombuffer(self.ids, np.uint32)[take], ends[at]
+        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        fresh = self.keys[place] != unique if len(self.keys) else np.ones(len(unique), bool)
+        if fresh.any():
+            own = first[fresh]
+            ids, count = self._learn(data, starts[own], ends[own], unit[own])
+            keys = np.append(self.keys, unique[fresh])
+            by = np.argsort(keys, kind="stable")
+            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(count) - count)[by]
+            self.size, self.checks, self.keys = np.append(self.size, count)[by], np.append(self.checks, checks[own])[by], keys[by]
+            self.ids = np.append(self.ids, ids)
+            place = np.searchsorted(self.keys, unique)
+        if (self.checks[place][of] != checks).any():  # two words with one hash
+            return self._apart(column)
+        many = self.size[place][of]
+        stops = np.concatenate([[0], np.cumsum(many)])
+        take = np.repeat(self.begin[place][of] - stops[:-1], many) + np.arange(stops[-1])
+        return self.ids[take], stops[at]
+
+    def _apart(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each text by the library as it is."""
+        ids = self.whole([t or "" for t in column.to_pylist()])
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker: later tasks know the words of earlier ones."""
+    return WordTokens(path)
 
 
 class OpenBins:
@@ -175,10 +237,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     prepare(docs.sparkSession)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = WordTokens(tokenizer_path), np.array([end_id], np.uint32)
+        tokens, end = word_tokens(tokenizer_path), np.array([end_id], np.uint32)
 
         def pieces() -> Iterator[list[tuple]]:
-            for batch in batches:
+            for batch in byte_slices(batches, 1):
                 ids, at = tokens.encode(batch.column(1))
                 out = []
                 for k, doc_id in enumerate(batch.column(0).to_pylist()):
