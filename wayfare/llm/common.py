@@ -42,7 +42,7 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 def with_text(names: list[str], text: Column) -> Column:
     """`doc` with another text; an n_chars field is counted anew."""
-    changed = F.col("doc").withField("text", text)
+    changed = F.col("doc").withField(next(n for n in names if n.lower() == "text"), text)
     return changed.withField("n_chars", F.length(text).cast("long")) if "n_chars" in names else changed
 
 

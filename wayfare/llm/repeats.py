@@ -10,8 +10,10 @@ kept as runs with the suffixes sampled at the runs' ends. A suffix whose predece
 common prefix one shorter than the suffix before it, so only run ends are compared letter by letter, and the matching
 statistics (the longest match elsewhere) stream from them along the text. Starts with a match of LENGTH are marked.
 
-An anchor with more than MOST differing segments isn't indexed in one place: its starts are hashed as a whole and dealt
-by that hash, packed in arrays, and those met twice are marked.
+An anchor with more than MOST differing segments is split by the bytes around it. Starts that lie equally far before the
+anchor, to within WIDTHS bytes, form a piece, and what all its strings have in common is the piece's own, longer anchor.
+Equal strings lie equally far before it, so they stay together. Pieces are treated like segments: grouped, removed where
+they are equal as a whole, indexed, or split again, at last to single strings.
 
 Defined results: null text is empty; a text under LENGTH bytes stays; repeated rows are repeats of each other; an empty
 table gives no rows; null doc_id stays null; columns besides doc_id and text are ignored.
@@ -26,21 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wayfare.llm.common import SPACE, RollingHash, byte_slices, cut, find_words, prepare, text_bytes
+from wayfare.llm.common import SPACE, RollingHash, byte_slices, cut, discard, find_words, mix, prepare, row_key, text_bytes, whole_rows, with_text
 
 LENGTH, GRAM = 400, 32
 #: Differing segments of an anchor that are indexed in one place.
 MOST = 2000
 #: Bytes of text in one index.
 INDEX_BYTES = 1_500_000
-#: Bytes of packed starts that one task compares.
-PACKED_BYTES = 48_000_000
+#: Starts of a piece, at each further split of an anchor with more than MOST segments.
+WIDTHS = (48, 8, 1)
 
-SEGMENTS = "row long, doc_id long, start long, starts long, anchor long, content long, again boolean"
-_SEGMENTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("starts", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("again", pa.bool_())])
-_MARKS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-MARKS = "row long, doc_id long, start long, end long"
+SEGMENTS = "row binary, doc_id long, start long, starts long, gram long, anchor long, content long, again boolean"
+_SEGMENTS = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("starts", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("again", pa.bool_())])
+_MARKS = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+MARKS = "row binary, doc_id long, start long, end long"
+OPENED = "row binary, doc_id long, start long, gram long, anchor long, open boolean, bytes binary"
+_OPENED = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("open", pa.bool_()), ("bytes", pa.binary())])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -105,7 +110,45 @@ def _segments(length: int):
         for batch in byte_slices(batches, 2, limit=2_000_000):
             own, start, many, anchor, content, again = find_segments(*text_bytes(batch.column(2)), length)
             take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(many), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(again)], schema=_SEGMENTS)
+            own_anchor = pa.array(anchor.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(many), own_anchor, own_anchor, pa.array(content.view(np.int64)), pa.array(again)], schema=_SEGMENTS)
+
+    return run
+
+
+def find_pieces(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, width: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of segments' bytes and their anchors (hashes of a gram): segment, first start there, count of starts, key, hash of the bytes.
+
+    A piece is a run of starts up to one place of the anchor, all in the same range of width distances before it.
+    """
+    rolling, size = RollingHash(data), np.diff(offsets)
+    at = np.arange(max(len(data) - gram + 1, 0))
+    text = np.repeat(np.arange(len(size)), size)
+    place = np.flatnonzero(rolling.ranges(at, at + gram) == anchor[text[: len(at)]])
+    counts = size - length + 1
+    segment = np.repeat(np.arange(len(size)), counts)
+    starts = np.arange(len(segment)) + np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts)
+    found = place[np.searchsorted(place, starts)]  # each start has its anchor behind it, by the segments' making
+    ranges = (found - starts) // width
+    new = np.ones(len(starts), bool)
+    new[1:] = (segment[1:] != segment[:-1]) | (found[1:] != found[:-1]) | (ranges[1:] != ranges[:-1])
+    head = np.flatnonzero(new)
+    many = np.diff(np.append(head, len(starts)))
+    begin, common = starts[head], found[head] - ranges[head] * width
+    key = mix(rolling.ranges(common, common - width + 1 + length) + ranges[head].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return segment[head], begin - offsets[segment[head]], many, key, rolling.ranges(begin, begin + many - 1 + length)
+
+
+def _pieces(length: int, width: int):
+    """Opened segments to their pieces, in the form of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, 6, limit=2_000_000):
+            data, offsets = text_bytes(batch.column(6))
+            own, first, many, key, content = find_pieces(data, offsets, batch.column(3).to_numpy().view(np.uint64), width, length)
+            take = pa.array(own)
+            start = batch.column(2).to_numpy()[own] + first
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(many), batch.column(3).take(take), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(np.zeros(len(own), bool))], schema=_SEGMENTS)
 
     return run
 
@@ -213,93 +256,28 @@ def _runs(covered_from: np.ndarray, length: int, step: int) -> tuple[np.ndarray,
 
 
 def _indexed(length: int, step: int):
-    """Rows (row, doc_id, start, anchor, open, bytes) sorted by anchor, to marks of the open ones."""
+    """Opened segments sorted by anchor, to marks of the open ones."""
 
-    def marks(group: list[tuple]) -> list[tuple]:
-        index = RunIndex([g[5] for g in group])
+    def marks(group: list[tuple]) -> pa.RecordBatch:
+        index = RunIndex([g[6] for g in group])
         long = index.matching_statistics() >= length
         out = []
         for g, at in zip(group, index.begin.tolist(), strict=True):
-            if g[4]:
-                places = np.flatnonzero(long[at : at + len(g[5])])
+            if g[5]:
+                places = np.flatnonzero(long[at : at + len(g[6])])
                 if len(places):
                     out += [(g[0], g[1], g[2] + a, g[2] + b) for a, b in zip(*(x.tolist() for x in _runs(places, length, step)), strict=True)]
-        return out
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t.type) for k, t in enumerate(_MARKS)], schema=_MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for batch in batches:
             for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= INDEX_BYTES and g[3] != group[-1][3]:
-                    yield _mark_batch(marks(group))
-                    group, size = [], 0
-                group.append(g)
-                size += len(g[5])
-        if group:
-            yield _mark_batch(marks(group))
-
-    return run
-
-
-def _mark_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], schema=_MARKS)
-
-
-# ---------------------------------------------------------------- anchors with very many segments
-
-
-def _packed(length: int, parts: int):
-    """Hashes of all starts, packed by the part that compares them: one row per batch and part."""
-    schema = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("segment", pa.binary()), ("start", pa.binary()), ("rows", pa.binary()), ("ids", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 5, limit=1_000_000):
-            data, at = text_bytes(batch.column(5))
-            count = np.diff(at) - length + 1
-            segment = np.repeat(np.arange(len(count)), count)
-            inner = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
-            begin = at[:-1][segment] + inner
-            hashes = RollingHash(data).ranges(begin, begin + length)
-            start = batch.column(2).to_numpy()[segment] + inner
-            part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            rows, ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for p in np.unique(part).tolist():
-                own = part == p
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((p, hashes[own].tobytes(), segment[own].astype(np.int32).tobytes(), start[own].tobytes(), rows.tobytes(), ids), schema, strict=True)], schema=schema)
-
-    return run
-
-
-def _met_twice(length: int, step: int):
-    def marks(group: list[dict]) -> pa.RecordBatch:
-        hashes = np.concatenate([np.frombuffer(g["hashes"], np.uint64) for g in group])
-        base = np.cumsum([0, *(len(g["ids"]) for g in group)])
-        segment = np.concatenate([np.frombuffer(g["segment"], np.int32) + b for g, b in zip(group, base[:-1], strict=True)])
-        start = np.concatenate([np.frombuffer(g["start"], np.int64) for g in group])
-        rows = np.concatenate([np.frombuffer(g["rows"], np.int64) for g in group])
-        ids = [i for g in group for i in g["ids"]]
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        twice = np.zeros(len(hashes), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        by = np.lexsort((start[twice], segment[twice]))
-        segment, start = segment[twice][by], start[twice][by]
-        out = []
-        if len(segment):
-            edge = np.flatnonzero((np.diff(segment) != 0) | (np.diff(start) > step))
-            for a, b in zip(np.append(0, edge + 1).tolist(), np.append(edge, len(segment) - 1).tolist(), strict=True):
-                out.append((int(rows[segment[a]]), ids[segment[a]], int(start[a]), int(start[b]) + length))
-        return _mark_batch(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        for batch in batches:
-            for g in batch.to_pylist():
-                if group and group[-1]["part"] != g["part"]:
+                if size >= INDEX_BYTES and g[4] != group[-1][4]:
                     yield marks(group)
-                    group = []
+                    group, size = [], 0
                 group.append(g)
+                size += len(g[6])
         if group:
             yield marks(group)
 
@@ -309,51 +287,46 @@ def _met_twice(length: int, step: int):
 # ---------------------------------------------------------------- the operator
 
 
-def _bytes_of(length: int):
-    """Segments' bytes: rows (row, doc_id, text, wanted segments) to (row, doc_id, start, anchor, open, bytes)."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("open", pa.bool_()), ("bytes", pa.binary())])
+def _opened(length: int):
+    """Rows (row, doc_id, text, wanted segments) to opened segments: with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, 2, limit=2_000_000):
             rows: list[tuple] = []
             for row, doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                rows += [(row, doc_id, w["start"], w["anchor"], w["open"], data[w["start"] : w["start"] + w["starts"] - 1 + length]) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+                rows += [(row, doc_id, w["start"], w["gram"], w["anchor"], w["open"], data[w["start"] : w["start"] + w["starts"] - 1 + length]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_OPENED)], schema=_OPENED)
 
     return run
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, step: int | None = None) -> DataFrame:
-    """Marks (row, doc_id, start, end) over the bytes to remove; rows: row, doc_id, text. Marks may overlap.
+    """Marks (row, doc_id, start, end) over the bytes to remove; rows: row (a key), doc_id, text. Marks may overlap.
 
     Repeated strings whose starts are up to step bytes apart share a mark: all that overlap or meet if it isn't given.
     """
-    step = step or length
+    step, marks = step or length, None
     segments = cut(rows.mapInArrow(_segments(length), SEGMENTS))
-    anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("any_again")).filter("n > 1 or any_again").select("anchor")
-    shared = cut(segments.join(anchors, "anchor"))
-    kinds = shared.groupBy("anchor", "content", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "doc_id", "start", "again")).alias("one"))
-    kinds = cut(kinds.select("anchor", "content", "starts", "n", "one.*"))
-    whole = shared.join(kinds.filter("n > 1").select("anchor", "content", "starts"), ["anchor", "content", "starts"])
-    marks = whole.select("row", "doc_id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("end"))
-
-    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again")).filter("least = 1 and (kinds > 1 or any_again)")
-    wanted = kinds.join(per.select("anchor", "kinds"), "anchor").select("row", "doc_id", F.struct("start", "starts", "anchor", (F.col("n") == 1).alias("open"), (F.col("kinds") > most).alias("many")).alias("w"))
-    wanted = cut(wanted)
-    for many in (False, True):
-        own = wanted.filter(F.col("w.many") == many)
-        size = own.agg(F.sum(F.col("w.starts"))).first()[0]
-        if not size:
-            continue
-        lists = own.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-        with_bytes = rows.join(lists, "row").select("row", "doc_id", "text", "wanted").mapInArrow(_bytes_of(length), "row long, doc_id long, start long, anchor long, open boolean, bytes binary")
-        if many:
-            parts = 1 + size * 20 // PACKED_BYTES
-            packed = with_bytes.mapInArrow(_packed(length, parts), "part int, hashes binary, segment binary, start binary, rows binary, ids array<long>")
-            marks = marks.union(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met_twice(length, step), MARKS))
-        else:
-            marks = marks.union(with_bytes.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
+    for width in (*(w for w in WIDTHS if w < length - GRAM), None):
+        anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("any_again")).filter("n > 1 or any_again").select("anchor")
+        shared = cut(segments.join(anchors, "anchor"))
+        discard(segments)
+        kinds = shared.groupBy("anchor", "content", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "doc_id", "start", "gram", "again")).alias("one"))
+        kinds = cut(kinds.select("anchor", "content", "starts", "n", "one.*"))
+        whole = shared.join(kinds.filter("n > 1").select("anchor", "content", "starts"), ["anchor", "content", "starts"])
+        whole = whole.select("row", "doc_id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("end"))
+        marks = marks.union(whole) if marks else whole
+
+        per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again")).filter("least = 1 and (kinds > 1 or any_again)")
+        wanted = cut(kinds.join(per.select("anchor", "kinds"), "anchor").select("row", "kinds", F.struct("start", "starts", "gram", "anchor", (F.col("n") == 1).alias("open")).alias("w")))
+        opened = lambda some: rows.join(some.groupBy("row").agg(F.collect_list("w").alias("wanted")), "row").select("row", "doc_id", "text", "wanted").mapInArrow(_opened(length), OPENED)
+        few, many = wanted.filter(F.col("kinds") <= most), wanted.filter(F.col("kinds") > most)
+        if not few.isEmpty():
+            marks = marks.union(opened(few).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
+        if width is None or many.isEmpty():
+            return marks
+        segments = cut(opened(many).mapInArrow(_pieces(length, width), SEGMENTS))
     return marks
 
 
@@ -387,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left): one row per row of docs."""
     prepare(docs.sparkSession)
     # a row's own key: equal rows share it, and their marks
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_key(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = repeated_spans(rows, length, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     return rows.join(marks, "row", "left").select("row", "doc_id", "text", "marks").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -412,26 +385,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, wor
     """docs with what is left of each text; bytes of letters cut in two go, and rows that lose all but blanks.
 
     With words, a repeated run goes only if it has so many whole words, or LENGTH bytes (long words, or writing without
-    spaces). An n_chars column is counted anew.
+    spaces). An n_chars column is counted anew. Null and empty texts stay; columns of any names pass through.
     """
-    names = docs.columns
-    schema = docs.schema
+    names, schema = docs.columns, docs.schema
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old, marks = batch.column(names.index("text")).to_pylist(), batch.column(len(names))
+            old, marks = batch.column(0).field(names.index("text")).to_pylist(), batch.column(1)
             if words:
                 marks = [_long_only(t.encode(), m, length, words) for t, m in zip(old, marks, strict=True)]
-            text = pa.array([_without(t.encode(), m)[0].decode("utf-8", "ignore") for t, m in zip(old, marks, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(k) for k, n in enumerate(names)], names=names)
-
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    prepare(docs.sparkSession)
-    spans = repeated_spans(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), length, most, 1 if words else None)
-    marks = spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_marks"))
-    joined = rows.join(marks, "_row", "left")
-    whole = joined.filter("_marks is null").select(names)
-    changed = joined.filter("_marks is not null").select(*names, "_marks").mapInArrow(run, schema).filter(F.trim("text") != "")
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return whole.unionByName(changed.select(names))
+            left = [_without(t.encode(), m)[0].decode("utf-8", "ignore") if m.is_valid else None for t, m in zip(old, marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=["doc", "left"])
+
+    rows = whole_rows(docs).withColumn("row", row_key(F.col("doc.doc_id").cast("long"), "doc.text"))
+    spans = repeated_spans(rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text")), length, most, 1 if words else None)
+    joined = rows.join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("marks")), "row", "left")
+    changed = joined.filter("marks is not null").select("doc", "marks").mapInArrow(run, StructType().add("doc", schema).add("left", "string"))
+    changed = changed.filter(F.col("left").isNull() | F.col("left").rlike(r"[^ \t-\r]"))
+    text = F.when(F.col("left").isNull(), F.col("doc")).otherwise(with_text(names, F.col("left")))
+    every = joined.filter("marks is null").select("doc").union(changed.select(text.alias("doc")))
+    return every.select(*(F.col(f"doc.`{c}`").cast(schema[c].dataType).alias(c) for c in names))
