@@ -275,11 +275,56 @@ def test_site_quality_of_odd_rows(spark, docs_of):
     assert all(r.kept for r in none)
 
 
+def posteriors(rows):
+    """Plain version of the two levels: rows (host, path, p) to each row's host and path means, itself left out."""
+    def spread(groups, above, within):
+        n, nn = sum(map(len, groups)), 0.0
+        between = sum(len(g) * (np.mean(g) - np.mean(a)) ** 2 for g, a in zip(groups, above, strict=True))
+        nn = sum(len(g) ** 2 / len(a) for g, a in zip(groups, above, strict=True))
+        tau = (between - (len(groups) - len({id(a) for a in above})) * within) / max(n - nn, 1e-9)
+        return min(max(within / tau, 0.01), 1e9) if tau > 0 else 1e9
+
+    every = [p for _, _, p in rows]
+    hosts, paths = {}, {}
+    for h, x, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, x), []).append(p)
+    within = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in paths.values()) / (len(rows) - len(paths))
+    host_worth, path_worth = spread(list(hosts.values()), [every] * len(hosts), within), spread(list(paths.values()), [hosts[h] for h, _ in paths], within)
+    out = []
+    for h, x, p in rows:
+        host = (sum(hosts[h]) - p + host_worth * np.mean(every)) / (len(hosts[h]) - 1 + host_worth)
+        path = (sum(paths[h, x]) - p + path_worth * host) / (len(paths[h, x]) - 1 + path_worth)
+        out.append((host, path if sum(k[0] == h for k in paths) > 1 else host))
+    return out
+
+
+def test_posteriors_of_two_levels_match_a_plain_version(spark):
+    rng = np.random.RandomState(3)
+    rows = []
+    for h in range(12):
+        for x in range(1 + h % 4):
+            rows += [(f"h{h}", f"h{h}/{x}", float(1 / (1 + np.exp(-rng.normal(rng.normal(h - 6, 0.01) / 3 + x, 1.5))))) for _ in range(1 + (h * 7 + x * 5) % 23)]
+    want = posteriors(rows)
+    scored = spark.createDataFrame([(k, h, x, float(np.log(p / (1 - p))), 0.0) for k, (h, x, p) in enumerate(rows)], "k int, host string, path string, low_odds double, toxic_odds double")
+    got = {r.k: (r.host_low, r.path_low) for r in site_quality.with_posteriors(scored).collect()}
+    assert all(got[k] == pytest.approx(w, rel=1e-6) for k, w in enumerate(want)) and len(got) == len(rows)
+
+
 def test_sparse_sites_shrink_toward_the_levels_above(spark):
     rows = [("big", "big", 3.0)] * 400 + [("big", "big/one", -3.0)] * 2 + [("small", "small", 3.0)] * 2 + [("rest", "rest", -3.0)] * 400
+    rows = [(h, p, x + 0.5 * (-1) ** k) for k, (h, p, x) in enumerate(rows)]
     scored = spark.createDataFrame([(h, p, x, -3.0) for h, p, x in rows], "host string, path string, low_odds double, toxic_odds double")
-    got = {r.path: r for r in site_quality.site_posteriors(scored).collect()}
-    assert got["big"].path_low > 0.85 and got["big/one"].path_low > 0.7 and abs(got["small"].path_low - got["small"].all_low) < 0.05
+    got = {r.path: r for r in site_quality.with_posteriors(scored).collect()}
+    assert got["big"].path_low > 0.85 and got["rest"].path_low < 0.15 and got["small"].path_low > 0.5
+    assert got["big"].path_toxic == pytest.approx(got["big"].all_toxic, abs=1e-6)  # sites that don't differ don't count
+
+
+def test_site_weight_is_fitted():
+    rng = np.random.RandomState(0)
+    shift, odds = rng.normal(0, 2, 4000), rng.normal(0, 1, 4000)
+    draw = lambda x: (rng.uniform(size=4000) < 1 / (1 + np.exp(-x))).astype(int)
+    assert site_quality.fit_weight(odds, shift, draw(odds)) < 0.15 and site_quality.fit_weight(odds, shift, draw(odds + shift)) > 0.85
 
 
 def test_packing_matches_the_tokenizer(spark):

@@ -50,7 +50,7 @@ def op8_language_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_row")
+    return site_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
