@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import LOWER, byte_slices, prepare, text_bytes
+from wayfare.llm.common import LOWER, byte_slices, cut, prepare, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 TRAIN_DOCS, WINDOWS_A_DOC, STEPS, BATCH, RATE = 3000, 4, 500, 192, 0.02
@@ -120,7 +120,10 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
             keep = np.concatenate([rng.choice(x, min(len(x), WINDOWS_A_DOC), replace=False) for x in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(text)) + 1)]) if len(rows) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows[keep]], pa.binary()), batch.column(1).take(pa.array(text[keep]))], names=["bytes", "lang"])
 
-    sample = named.select("text", "lang", "doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRAIN_DOCS).select("text", "lang")
+    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    chosen = cut(named.select("doc_id").distinct().orderBy(*order).limit(TRAIN_DOCS))  # ids alone; texts follow them
+    # repeated ids may bring more rows than ids
+    sample = named.select("text", "lang", "doc_id").join(F.broadcast(chosen), "doc_id", "left_semi").limit(TRAIN_DOCS).select("text", "lang")
     found = sample.mapInArrow(cut_out, "bytes binary, lang string").toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
     rows = np.frombuffer(b"".join(found["bytes"].to_pylist()), np.uint8).reshape(-1, WINDOW)
