@@ -11,7 +11,7 @@ Conversations are range-partitioned by the path of their turns' hashes and their
 that order, and a first turn that a third of all conversations share is spread over many partitions; each pack (and each
 partition) repeats the turns it needs once.
 
-Defined results: null text or role is empty; null conv_id is one conversation of its own; equal turn numbers are ordered
+Defined results: null text or role is empty; each row with a null conv_id is a conversation of its own (only equal ones share it); equal turn numbers are ordered
 by role and text; repeated rows are repeated turns; an empty table gives no packs; other columns are ignored.
 """
 
@@ -130,7 +130,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """Packs (PACKS) of all conversations (conv_id, turn, role, text)."""
     prepare(conversations.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.select(F.col("conv_id").cast("long"), turn.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    whole = conversations.select(F.col("conv_id").cast("long"), turn.alias("one"))
+    whole = whole.groupBy("conv_id", F.when(F.col("conv_id").isNull(), F.struct("one")).alias("alone")).agg(F.sort_array(F.collect_list("one")).alias("turns"))
     ordered = whole.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
     return ordered.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns").mapInArrow(_write, PACKS)
 

@@ -6,6 +6,9 @@ whole. Cut at equal counts, every shard has the sources in the mixture of the co
 Ranks and places come from counts of hash buckets and of ranges, so no window holds more than about BUCKET_ROWS rows
 however large a source is.
 
+Rows are told apart by doc_id and text, so rows with no doc_id, or with one that others have, spread as well; only whole
+repeats of one row share a bucket. One task adds up the counts of ranges, one number for BUCKET_ROWS rows.
+
 Defined results: null text has no bytes (size 1, crc 0); null source is a source of its own; repeated rows get a place
 each; an empty table gives no rows; other columns are ignored.
 """
@@ -32,7 +35,7 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, b
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long"), "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")).alias("key"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary")).alias("key"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stratum"),
     )
     counted = cut(rows)
