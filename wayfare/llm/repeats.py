@@ -37,6 +37,8 @@ LENGTH, GRAM = 400, 32
 MOST = 2000
 #: Bytes of text in one index.
 INDEX_BYTES = 1_500_000
+#: Anchors met twice or more that are broadcast, so that other segments are left out where they are found.
+BROADCAST_ANCHORS = 2_000_000
 #: Starts of a piece, at each further split of an anchor with more than MOST segments.
 WIDTHS = (48, 8, 1)
 
@@ -44,8 +46,8 @@ SEGMENTS = "row binary, doc_id long, start long, starts long, gram long, anchor
 _SEGMENTS = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("starts", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("again", pa.bool_())])
 _MARKS = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 MARKS = "row binary, doc_id long, start long, end long"
-OPENED = "row binary, doc_id long, start long, gram long, anchor long, open boolean, bytes binary"
-_OPENED = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("open", pa.bool_()), ("bytes", pa.binary())])
+OPENED = "row binary, doc_id long, start long, gram long, anchor long, open boolean, bytes binary, kinds long"
+_OPENED = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("open", pa.bool_()), ("bytes", pa.binary()), ("kinds", pa.int64())])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -295,7 +297,7 @@ def _opened(length: int):
             rows: list[tuple] = []
             for row, doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                rows += [(row, doc_id, w["start"], w["gram"], w["anchor"], w["open"], data[w["start"] : w["start"] + w["starts"] - 1 + length]) for w in wanted]
+                rows += [(row, doc_id, w["start"], w["gram"], w["anchor"], w["open"], data[w["start"] : w["start"] + w["starts"] - 1 + length], w["kinds"]) for w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_OPENED)], schema=_OPENED)
 
     return run
@@ -309,9 +311,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, step
     step, marks = step or length, None
     segments = cut(rows.mapInArrow(_segments(length), SEGMENTS))
     for width in (*(w for w in WIDTHS if w < length - GRAM), None):
-        anchors = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("any_again")).filter("n > 1 or any_again").select("anchor")
-        shared = cut(segments.join(anchors, "anchor"))
-        discard(segments)
+        anchors = cut(segments.groupBy("anchor").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1").select("anchor"))
+        shared = cut(segments.join(F.broadcast(anchors) if anchors.count() <= BROADCAST_ANCHORS else anchors, "anchor"))
+        discard(segments, anchors)
         kinds = shared.groupBy("anchor", "content", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "doc_id", "start", "gram", "again")).alias("one"))
         kinds = cut(kinds.select("anchor", "content", "starts", "n", "one.*"))
         whole = shared.join(kinds.filter("n > 1").select("anchor", "content", "starts"), ["anchor", "content", "starts"])
@@ -319,14 +321,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, step
         marks = marks.union(whole) if marks else whole
 
         per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again")).filter("least = 1 and (kinds > 1 or any_again)")
-        wanted = cut(kinds.join(per.select("anchor", "kinds"), "anchor").select("row", "kinds", F.struct("start", "starts", "gram", "anchor", (F.col("n") == 1).alias("open")).alias("w")))
-        opened = lambda some: rows.join(some.groupBy("row").agg(F.collect_list("w").alias("wanted")), "row").select("row", "doc_id", "text", "wanted").mapInArrow(_opened(length), OPENED)
-        few, many = wanted.filter(F.col("kinds") <= most), wanted.filter(F.col("kinds") > most)
-        if not few.isEmpty():
-            marks = marks.union(opened(few).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
+        wanted = kinds.join(per.select("anchor", "kinds"), "anchor").select("row", F.struct("start", "starts", "gram", "anchor", (F.col("n") == 1).alias("open"), "kinds").alias("w"))
+        lists = cut(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")))
+        if lists.isEmpty():
+            return marks
+        opened = cut(rows.join(lists, "row").select("row", "doc_id", "text", "wanted").mapInArrow(_opened(length), OPENED))
+        few, many = opened.filter(F.col("kinds") <= most), opened.filter(F.col("kinds") > most)
+        marks = marks.union(few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
         if width is None or many.isEmpty():
             return marks
-        segments = cut(opened(many).mapInArrow(_pieces(length, width), SEGMENTS))
+        segments = cut(many.mapInArrow(_pieces(length, width), SEGMENTS))
     return marks
 
 
