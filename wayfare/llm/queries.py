@@ -100,5 +100,74 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
+_OP1 = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT k, i, md5(substr(h, 2*i + 1, 800)) AS g FROM (SELECT k, h, unnest(range(0, length(h)//2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS n FROM strings) WHERE n > 1),
+runs AS (
+  SELECT k, min(i) AS a, max(i) + 400 AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM again)) GROUP BY k, run),
+gone AS (
+  SELECT k, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2*prior + 1, 2*(a - prior)), '' ORDER BY a) AS kept
+  FROM (SELECT r.*, h, lag(b, 1, 0) OVER (PARTITION BY r.k ORDER BY a) AS prior FROM runs r JOIN d ON d.k = r.k) GROUP BY k)
+SELECT doc_id, (length(h)//2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN gone.k IS NULL THEN h ELSE kept || substr(h, 2*last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.k = d.k"""
+
+#: CRC-32 by its table of 256 remainders, each from eight shifts.
+_OP6 = """
+WITH RECURSIVE shifts AS (SELECT n, 0 AS k, n AS c FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM shifts WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY n) AS t FROM shifts WHERE k = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, coalesce('=' || source, '') AS stratum FROM documents),
+digits AS (SELECT k, list_transform(range(1, length(h), 2), lambda i: ((instr('0123456789ABCDEF', substr(h, i, 1)) - 1)*16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT) AS bytes FROM d),
+sums AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS crc FROM digits CROSS JOIN remainders),
+ranked AS (
+  SELECT d.k, doc_id, source, strlen(text) + 1 AS size, crc, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws(':', 'wayfare', coalesce(doc_id::VARCHAR, ''), text)), doc_id, crc) AS rank,
+    count(*) OVER (PARTITION BY stratum) AS n, (instr('0123456789abcdef', substr(md5('wayfare:' || stratum), 1, 1)) - 1)*16 + instr('0123456789abcdef', substr(md5('wayfare:' || stratum), 2, 1)) - 1 AS shift
+  FROM d JOIN sums ON sums.k = d.k),
+placed AS (SELECT *, row_number() OVER (ORDER BY (rank*256 - shift)::DOUBLE/n, stratum, rank) - 1 AS pos, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (pos*16//total)::INT AS shard, (pos - ceil((pos*16//total)*total/16.0::DOUBLE))::BIGINT AS slot, NULL::INT AS grown_shard, source FROM placed"""
+
+_JS = "sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda j: CASE WHEN {p}[j] > 0 THEN {p}[j]*log2({p}[j]/(({p}[j] + {q}[j])/2)) ELSE 0 END + CASE WHEN {q}[j] > 0 THEN {q}[j]*log2({q}[j]/(({p}[j] + {q}[j])/2)) ELSE 0 END))/2, 0))"
+
+_OP7 = rf"""
+WITH d AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS lw, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents)),
+twice AS (SELECT k, i, i - lag(i, 1, -5) OVER (PARTITION BY k ORDER BY i) AS step FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM (SELECT k, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d))) WHERE n > 1),
+repeats AS (SELECT k, sum(least(step, 5)) AS n_repeat_words FROM twice GROUP BY k),
+counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM d) GROUP BY ALL),
+total AS (SELECT sum(n) AS n FROM counts),
+per AS (SELECT lang, sum(n) AS n FROM counts GROUP BY lang),
+shares AS (SELECT word, sum(c.n)/any_value(total.n)::DOUBLE AS share FROM counts c CROSS JOIN total GROUP BY word),
+ranked AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM counts),
+tops AS (SELECT lang, list(r.word ORDER BY rank) AS top, list(share ORDER BY rank) AS share FROM ranked r JOIN shares s ON s.word = r.word WHERE rank <= 24 GROUP BY lang),
+measured AS (
+  SELECT d.k, doc_id, d.lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS chars, strlen(t) AS octets, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digit, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper,
+    length(t) - length(regexp_replace(t, '[.,;:!?''"()-]', '', 'g')) AS point, list_transform(range(1, 25), lambda j: len(list_filter(lw, lambda y: y = top[j]))::DOUBLE) AS placed
+  FROM d LEFT JOIN repeats ON repeats.k = d.k LEFT JOIN tops ON tops.lang IS NOT DISTINCT FROM d.lang),
+listed AS (
+  SELECT *, [chars - word_chars, n_symbols, digit, upper, point, octets - chars, word_chars - n_symbols - digit - upper - point]::DOUBLE[] AS classes, list_append(placed, (n_words - list_sum(placed))::DOUBLE) AS common FROM measured),
+class_sums AS (SELECT lang, list(s ORDER BY j) AS s FROM (SELECT lang, j, sum(classes[j]) AS s FROM listed CROSS JOIN range(1, 8) r(j) GROUP BY ALL) GROUP BY lang),
+whole AS (SELECT list(s ORDER BY j) AS s FROM (SELECT j, sum(classes[j]) AS s FROM listed CROSS JOIN range(1, 8) r(j) GROUP BY j)),
+common_sums AS (SELECT lang, list(s ORDER BY j) AS s FROM (SELECT lang, j, sum(common[j]) AS s FROM listed CROSS JOIN range(1, 26) r(j) GROUP BY ALL) GROUP BY lang),
+mixed AS (
+  SELECT c.lang, 2000/(coalesce(per.n, 0) + 2000)::DOUBLE AS thin, list_transform(c.s, lambda x: CASE WHEN list_sum(c.s) > 0 THEN x/list_sum(c.s) ELSE 0 END) AS own, list_transform(whole.s, lambda x: CASE WHEN list_sum(whole.s) > 0 THEN x/list_sum(whole.s) ELSE 0 END) AS every,
+    list_transform(m.s, lambda x: CASE WHEN list_sum(m.s) > 0 THEN x/list_sum(m.s) ELSE 0 END) AS own_common, list_append(list_transform(range(1, 25), lambda j: coalesce(share[j], 0)), 1 - list_sum(share)) AS every_common
+  FROM class_sums c CROSS JOIN whole JOIN common_sums m ON m.lang IS NOT DISTINCT FROM c.lang LEFT JOIN per ON per.lang IS NOT DISTINCT FROM c.lang LEFT JOIN tops ON tops.lang IS NOT DISTINCT FROM c.lang),
+reference AS (SELECT lang, thin, list_transform(range(1, 8), lambda j: (1 - thin)*own[j] + thin*every[j]) AS rc, list_transform(range(1, 26), lambda j: (1 - thin)*own_common[j] + thin*every_common[j]) AS rw FROM mixed),
+distances AS (
+  SELECT l.*, thin, rc, rw, list_transform(classes, lambda x: CASE WHEN chars > 0 THEN x/list_sum(classes) ELSE 0 END) AS pc, list_transform(common, lambda x: CASE WHEN n_words > 0 THEN x/list_sum(common) ELSE 0 END) AS pw
+  FROM listed l JOIN reference r ON r.lang IS NOT DISTINCT FROM l.lang),
+judged AS (
+  SELECT *, n_words < 10 OR 100*n_repeat_words > 20*n_words AS base_failed, CASE WHEN n_words >= 20 THEN round({_JS.format(p='pc', q='rc')}, 6) END AS class_distance, CASE WHEN n_words >= 40 THEN round({_JS.format(p='pw', q='rw')}, 6) END AS common_distance FROM distances)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(class_distance, 0) <= 0.30*(1 - thin) + thin AND coalesce(common_distance, 0) <= 0.50*(1 - thin) + thin AS kept, class_distance, common_distance
+FROM judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_prefix_tree": _OP3, "op4_minhash_near_duplicates": _OP4, "op5_benchmark_leaks": _OP5}
+    return {
+        "op1_repeated_bytes": _OP1, "op3_chat_prefix_tree": _OP3, "op4_minhash_near_duplicates": _OP4, "op5_benchmark_leaks": _OP5, "op6_stratified_shards": _OP6,
+        "op7_divergence_rules": _OP7,
+    }
