@@ -12,7 +12,7 @@ from wayfare.operators.space import route_at, with_profile_at
 from wayfare.plans.params import DEFAULT, Params
 
 #: What a zone without any row answers.
-NODE_DEFAULTS = {"posterior": 0.0, "expected_wait": 75.0, "competition_ratio": 10.0, "supply": 0.0, "node_confidence": 0.05, "expected_driver_revenue": 0.0, "expected_duration_min": 15.0, "expected_distance_miles": 2.0}
+NODE_DEFAULTS = {"posterior": 0.0, "expected_wait": 75.0, "competitors": 0.0, "competition_ratio": 10.0, "supply": 0.0, "node_confidence": 0.05, "expected_driver_revenue": 0.0, "expected_duration_min": 15.0, "expected_distance_miles": 2.0}
 ESTIMATES = ("revenue", "minutes", "miles", "revenue_std", "minutes_std", "miles_std", "confidence", "observed_trip_count")
 
 
@@ -23,11 +23,12 @@ def two_bins(questions: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return questions.select("*", F.inline(both))
 
 
-def node_at(questions: DataFrame, nodes: DataFrame, scenario: str = "medium", params: Params = DEFAULT) -> DataFrame:
-    """questions (zone_id, minute, ...) with the node's metrics, linear between bins; the scenario picks the wait."""
-    metrics = [c for c in NODE_DEFAULTS if c != "expected_wait"]
-    own = nodes.select("zone_id", "time_bin", *metrics, F.col(f"expected_wait_{scenario}").alias("expected_wait"))
-    names = [*metrics, "expected_wait"]
+def node_at(questions: DataFrame, nodes: DataFrame, scenario: str = "medium", params: Params = DEFAULT, competitors: bool = False) -> DataFrame:
+    """questions (zone_id, minute, ...) with the node's metrics, linear between bins; the scenario picks wait and competitors."""
+    by_scenario = ["expected_wait", *(["competitors"] if competitors else [])]
+    metrics = [c for c in NODE_DEFAULTS if c not in ("expected_wait", "competitors")]
+    own = nodes.select("zone_id", "time_bin", *metrics, *(F.col(f"{c}_{scenario}").alias(c) for c in by_scenario))
+    names = [*metrics, *by_scenario]
     low = own.toDF("zone_id", "_lb", *(f"_l_{c}" for c in names))
     high = own.toDF("zone_id", "_hb", *(f"_h_{c}" for c in names))
     rows = questions.withColumn("_lb", low_bin(F.col("minute"), params)).withColumn("_hb", next_bin(F.col("minute"), params))

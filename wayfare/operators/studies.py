@@ -19,7 +19,8 @@ def average_rank(column: Column, by: list[str] | None = None) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     ranked = df.select(*(by or []), average_rank(F.col(a), by).alias("_a"), average_rank(F.col(b), by).alias("_b"))
-    return ranked.groupBy(*(by or [])).agg(F.corr("_a", "_b").alias("spearman"))
+    both = F.stddev_pop("_a") * F.stddev_pop("_b")  # none where one of both is constant
+    return ranked.groupBy(*(by or [])).agg(F.try_divide(F.covar_pop("_a", "_b"), both).alias("spearman"))
 
 
 def error_metrics(df: DataFrame, truth: str, estimate: str, by: list[str] | None = None) -> DataFrame:
@@ -73,8 +74,9 @@ def coverage_check(questions: DataFrame, model, params: Params = DEFAULT) -> Dat
 
 
 def coverage_summary(checked: DataFrame) -> DataFrame:
+    """One row of counts and shares. Fails when it is computed if any answer is invalid."""
     by_source = checked.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "source", F.col("n").cast("string")))), "|").alias("sources"))
-    plain = checked.agg(F.count(F.lit(1)).alias("questions"), F.count_if("is_valid").alias("valid"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("is_directly_observed").cast("double")).alias("observed_share"))
+    plain = checked.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.when(F.col("is_valid"), True).otherwise(F.raise_error(F.concat(F.lit("invalid answer to question "), F.col("query_id").cast("string"))).cast("boolean"))).alias("valid"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("is_directly_observed").cast("double")).alias("observed_share"))
     return plain.withColumn("coverage", F.col("valid") / F.greatest("questions", F.lit(1))).join(F.broadcast(by_source))  # one row
 
 

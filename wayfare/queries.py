@@ -122,9 +122,9 @@ def duration_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def calibrated_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calibrated duration of every pair at the start of every 16th bin."""
+    """The calibrated duration of every pair at the start of every bin."""
     m = model(spark, sf_dir)
-    rows = calibrate.with_pair_names(space.zone_pairs(m.zones), m.zones).join(m.profiles.filter("time_bin % 16 = 0"), how="cross")
+    rows = calibrate.with_pair_names(space.zone_pairs(m.zones), m.zones).join(m.profiles, how="cross")
     rows = calibrate.with_calibrated_minutes(rows, m.calibration, F.col("miles"), F.col("speed_mph"))
     return rounded(rows.select("time_bin", "origin", "destination", "miles", "distance_band", "borough_pair", "airport_pair", "calibration_multiplier", "calibrated_minutes"))
 
@@ -215,13 +215,10 @@ def od_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def od_lookup_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell from the sources behind the stored estimates, with the pairs of one residue left out of the history."""
+    """Every cell from the sources behind the stored estimates."""
     m = model(spark, sf_dir)
-    some = lambda df: df.filter((7 * F.col("origin") + 3 * F.col("destination")) % 5 != 0)
-    part = TripModel(m.trips, m.zones, m.adjacency)
-    part.__dict__.update(observed=some(m.observed), pairs=some(m.pairs), profiles=m.profiles, gravity=m.gravity, calibration=m.calibration, near=m.near, routes=m.routes)
     cells = space.zone_pairs(m.zones).select("origin", "destination").join(m.profiles.select("time_bin"), how="cross")
-    return rounded(look.estimate_od_bin(cells, part, direct=False), 3)
+    return rounded(look.estimate_od_bin(cells, m, direct=False), 3)
 
 
 @query

@@ -7,18 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators import candidates, episodes, horizon, policies, shapley, studies
+from wayfare.operators import candidates, episodes, policies, shapley, studies
 from wayfare.plans.params import DEFAULT
 from wayfare.queries import model, query, rounded, trip_view
 from wayfare.sources.lineage import settle
 
 START = 480.0
-PLAYERS = [3, 8, 14, 21]
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.state_grid(model(spark, sf_dir).zones, START, [0.0, 15.0, 45.0, 90.0])
+    return policies.state_grid(model(spark, sf_dir).zones, START, [15.0 * k for k in range(8)])
 
 
 _details: dict[tuple[str, str], DataFrame] = {}
@@ -75,16 +74,6 @@ def competition_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduce(DataFrame.unionByName, each))
 
 
-@query
-def horizon_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected two-hour value of every zone for all coalitions of four players, at the first step."""
-    m = model(spark, sf_dir)
-    masks = shapley.coalition_masks(spark, PLAYERS)
-    targets = m.zones.select("zone_id").crossJoin(F.broadcast(spark.range(DEFAULT.steps).select(F.col("id").cast("int").alias("step")))).withColumn("target", F.explode(F.array(*(F.lit(z) for z in PLAYERS))))  # steps x four players
-    values = horizon.finite_horizon_values(settle(horizon.wait_transitions(m, START)), settle(horizon.move_transitions(m, START, targets)), masks)
-    return rounded(values.filter("step = 0").select("mask", "zone_id", "value", "target"))
-
-
 def coalition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mask, value over the event types as players: the sum of each user's largest total among the mask's types."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -202,8 +202,8 @@ hops AS (
   SELECT k + 1, origin, destination, min(minutes), arg_min(miles, minutes) FROM (
     SELECT h.k, h.origin, e.destination, h.minutes + e.minutes AS minutes, h.miles + e.miles AS miles FROM hops h JOIN edges e ON e.origin = h.destination WHERE h.k < 24 AND e.destination <> h.origin) GROUP BY ALL),
 routes AS (SELECT origin, destination, min(minutes) AS minutes, arg_min(miles, minutes) AS miles FROM hops GROUP BY ALL),
-part_observed AS (SELECT * FROM observed WHERE (7*origin + 3*destination) % 5 <> 0),
-part_pairs AS (SELECT * FROM pairs WHERE (7*origin + 3*destination) % 5 <> 0),
+part_observed AS (SELECT * FROM observed),
+part_pairs AS (SELECT * FROM pairs),
 {_priors('part_temporal', 'part_spatial', 'part_observed', 'part_pairs')},
 {_estimates('fallback', 'part_observed', 'part_pairs', 'part_temporal', 'part_spatial', direct=False)},
 {_estimates('estimate', 'observed', 'pairs', 'temporal', 'spatial', direct=True)},
@@ -260,13 +260,18 @@ ORACLES: dict[str, str] = {
     "time_profiles": _select("time_bin", "profiles", "mph speed_mph; rpm revenue_per_mile"),
     "gravity_fit": _select("", "gravity", "intercept; distance; duration; mean_revenue; mean_duration; mean_distance"),
     "duration_calibration": _select("kind, key, trips", "calibration", "factor"),
-    "calibrated_durations": _select("time_bin, origin, destination, distance_band, borough_pair, airport_pair", "calibrated WHERE time_bin % 16 = 0", "miles; mult calibration_multiplier; minutes calibrated_minutes"),
+    "calibrated_durations": _select("time_bin, origin, destination, distance_band, borough_pair, airport_pair", "calibrated", "miles; mult calibration_multiplier; minutes calibrated_minutes"),
     "nearest_zones": _select("zone_id, neighbour, CAST(rank AS INT) AS rank", "near", "miles"),
     "reposition_edges": _select("origin, destination, edge_source", "edges", "minutes duration_min; miles distance_miles; confidence"),
     "shortest_routes": _select("origin, destination", "routes", "minutes"),
     "node_posterior": _select("time_bin, zone_id, pickup_count, dropoff_count, service_days, node_layer", "posterior", "raw_pickups; raw_dropoffs; temporal_prior; spatial_prior; posterior; node_confidence"),
     "latent_stock": _select("zone_id, time_bin", "stock", "stock"),
     "node_metrics": _select("time_bin, zone_id", "nodes", "supply; ratio competition_ratio; wait_low expected_wait_low; wait_medium expected_wait_medium; wait_high expected_wait_high; greatest(wait_medium*posterior/15-1, 0) competitors_medium; 1-exp(-15/wait_medium) pickup_probability"),
+    "state_features": _select(
+        "query_id AS state_id, zone_id", _NODES.format(", ".join(f"(1-t)*a.{c} + t*b.{c} AS {c}" for c in ("posterior", "ratio", "node_confidence", "revenue", "minutes", "dist", "wait_medium")) + ", (1-t)*greatest(a.wait_medium*a.posterior/15-1, 0) + t*greatest(b.wait_medium*b.posterior/15-1, 0) AS rivals")
+        + " n CROSS JOIN (SELECT greatest(quantile_cont(posterior, 0.95), 1) AS scale FROM posterior)",
+        "sin(2*pi()*minute/1440) sin_clock; cos(2*pi()*minute/1440) cos_clock; (minute%120)/120 remaining_share; n.posterior/scale demand; wait_medium/75 wait; revenue/100 revenue; minutes/90 minutes; dist/30 miles; ratio/(1+ratio) crowding; rivals/(10+rivals) competitors; node_confidence confidence",
+    ),
     "pickup_scale": _select("", "posterior", "greatest(quantile_cont(posterior, 0.95), 1) pickup_scale"),
     "od_support": _select("time_bin, origin, destination", "support", "score"),
     "od_temporal_prior": _select("time_bin, origin, destination", "temporal", "w temporal_weight; r temporal_driver_revenue; m temporal_duration_min; d temporal_distance_miles"),

@@ -51,3 +51,8 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, kind:
     if kind == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(partition_by) if partition_by else writer).save(path)
+
+
+def write_observed_od(observed: DataFrame, folder: str) -> None:
+    """The observed cells as a table of their own, one folder for each time bin."""
+    write_table(observed, f"{folder}/observed_od", "time_bin")
