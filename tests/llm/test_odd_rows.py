@@ -70,12 +70,12 @@ def test_leaks_by_several_slices_are_the_same(spark):
 
 
 def shingle_sets(column):
-    own, ordinal, *_, value, at = passages.paragraphs(column)
-    return {(int(o), int(k)): frozenset(value[a:b].tolist()) for o, k, a, b in zip(own, ordinal, at, at[1:], strict=False)}
+    lines, _ = passages.lines_and_pieces(column)
+    return [frozenset(lines.value[a:b].tolist()) for a, b in zip(lines.at, lines.at[1:], strict=False)]
 
 
 def test_banding_finds_nearly_all_pairs(spark):
-    """Recall against all pairs of unlike paragraph sets, with edited copies of long lines added."""
+    """Recall against all pairs of unlike lines, with edited copies of long lines added."""
     import numpy as np
     import pyarrow as pa
 
@@ -86,7 +86,7 @@ def test_banding_finds_nearly_all_pairs(spark):
         line = rng.sample(words, 200)
         lines += [" ".join(line), " ".join([*line[:100], f"edit{k}", *line[101:]])]
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + lines
-    sets = list({s for s in shingle_sets(pa.array(texts)).values() if len(s) > 1})
+    sets = list({s for s in shingle_sets(pa.array(texts)) if len(s) > 1})
     by = {}
     for k, s in enumerate(sets):
         for g in s:
@@ -103,6 +103,6 @@ def test_banding_finds_nearly_all_pairs(spark):
         minima = [int((v * m).min()) for m in passages._MULTIPLIERS]
         keys.append([tuple([k, *minima[k * passages.ROWS : (k + 1) * passages.ROWS]]) for k in range(passages.BANDS)])
     met = {p for p in near if set(keys[p[0]]) & set(keys[p[1]])}
-    assert not near or len(met) >= 0.9 * len(near)
+    assert len(near) >= 150 and len(met) >= 0.9 * len(near)
 
 

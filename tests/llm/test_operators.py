@@ -159,11 +159,27 @@ def test_paragraphs_do_not_depend_on_the_batch():
     import pyarrow as pa
 
     texts = [f"{filler(k, 30 + k)}\n{PASSAGE}" for k in range(5)]
-    together = passages.paragraphs(pa.array(texts))
+    together = passages.lines_and_pieces(pa.array(texts))
     for k, t in enumerate(texts):
-        alone = passages.paragraphs(pa.array([t]))
-        own = together[0] == k
-        assert all((together[c][own] == alone[c]).all() for c in (1, 2, 3, 4))
+        for all_, alone in zip(together, passages.lines_and_pieces(pa.array([t])), strict=True):
+            own = all_.text == k
+            assert all((getattr(all_, c)[own] == getattr(alone, c)).all() for c in ("ordinal", "start", "end", "count"))
+
+
+def test_edited_lines_are_removed_and_unlike_ones_stay(docs_of):
+    """Lines of 60 words with one word changed are near copies, with a quarter changed they aren't."""
+    rng = np.random.RandomState(2)
+    base = [[f"b{k}w{j}" for j in range(60)] for k in range(30)]
+    rows = []
+    for k, line in enumerate(base):
+        one, many = list(line), list(line)
+        one[int(rng.randint(60))] = f"new{k}"
+        for j in range(0, 60, 4):
+            many[j] = f"other{k}x{j}"
+        rows += [(1000 + k, f"{filler(5000 + k)}\n" + " ".join(line)), (2000 + k, " ".join(one) + f"\n{filler(6000 + k)}"), (3000 + k, " ".join(many) + f"\n{filler(7000 + k)}")]
+    got = {r.doc_id: r.n_words_removed for r in passages.remove_passages(docs_of(rows)).collect()}
+    assert all(got[1000 + k] == 0 and got[3000 + k] == 0 for k in range(30))
+    assert sum(got[2000 + k] == 60 for k in range(30)) >= 27
 
 
 def test_chat_round_trip(spark):
