@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from wayfare.sources.lineage import discard, settle, shared_dir  # noqa: F401  for the operators
 
 #: Rows and bytes of an Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of text that are looked at together where arrays of some hundred bytes a letter are made of them.
+SLICE_BYTES = 1_000_000
 
 #: Later steps start from files in the shared folder.
 cut = settle

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.llm.common import byte_slices, cut, digest_pairs, discard, mix, prepare, row_key, shingles, whole_rows
+from wayfare.llm.common import SLICE_BYTES, byte_slices, cut, digest_pairs, discard, mix, prepare, row_key, shingles, whole_rows
 from wayfare.llm.components import components
 
 HASHES, FINE, ROWS, BITS = 128, 768, 5, 4
@@ -96,7 +96,7 @@ def _signatures(n_bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = mix(np.arange(1, places + 1, dtype=np.uint64)) | np.uint64(1)
-        for batch in byte_slices(batches, 2):
+        for batch in byte_slices(batches, 2, limit=SLICE_BYTES):
             values, at = shingles(batch.column(2))
             digests = np.zeros((batch.num_rows, 3), np.int64)
             for k in np.flatnonzero(np.diff(at)):
@@ -121,7 +121,7 @@ def signatures(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, 1, limit=1_000_000):
+    for batch in byte_slices(batches, 1, limit=SLICE_BYTES):
         values, at = shingles(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), _list_column(bit_planes(minima(values, at, _MULTIPLIERS[HASHES:])))], names=["node", "planes"])
 
@@ -194,7 +194,7 @@ def similarity(equal: Column) -> Column:
 
 def _verify(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 2, 3):
+        for batch in byte_slices(batches, 2, 3, limit=SLICE_BYTES):
             (x, x_at), (y, y_at) = shingles(batch.column(2)), shingles(batch.column(3))
             linked, last = np.zeros(batch.num_rows, bool), (None, None)
             ids = batch.column(0).to_numpy(zero_copy_only=False)

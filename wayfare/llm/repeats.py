@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfare.llm.common import SPACE, RollingHash, byte_slices, cut, discard, find_words, mix, prepare, row_key, text_bytes, whole_rows, with_text
+from wayfare.llm.common import SLICE_BYTES, SPACE, RollingHash, byte_slices, cut, discard, find_words, mix, prepare, row_key, text_bytes, whole_rows, with_text
 
 LENGTH, GRAM = 400, 32
 #: Differing segments of an anchor that are indexed in one place.
 MOST = 2000
 #: Bytes of text in one index.
-INDEX_BYTES = 1_500_000
+INDEX_BYTES = 500_000
 #: Anchors met twice or more that are broadcast, so that other segments are left out where they are found.
 BROADCAST_ANCHORS = 2_000_000
 #: Starts of a piece, at each further split of an anchor with more than MOST segments.
@@ -109,7 +109,7 @@ def find_segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
 
 def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 2, limit=2_000_000):
+        for batch in byte_slices(batches, 2, limit=SLICE_BYTES):
             own, start, many, anchor, content, again = find_segments(*text_bytes(batch.column(2)), length)
             take = pa.array(own)
             own_anchor = pa.array(anchor.view(np.int64))
@@ -145,7 +145,7 @@ def _pieces(length: int, width: int):
     """Opened segments to their pieces, in the form of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 6, limit=2_000_000):
+        for batch in byte_slices(batches, 6, limit=SLICE_BYTES):
             data, offsets = text_bytes(batch.column(6))
             own, first, many, key, content = find_pieces(data, offsets, batch.column(3).to_numpy().view(np.uint64), width, length)
             take = pa.array(own)
@@ -293,7 +293,7 @@ def _opened(length: int):
     """Rows (row, doc_id, text, wanted segments) to opened segments: with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, 2, limit=2_000_000):
+        for batch in byte_slices(batches, 2, limit=SLICE_BYTES):
             rows: list[tuple] = []
             for row, doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()

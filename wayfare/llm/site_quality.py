@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfare.llm.common import LOWER, SPACE, RollingHash, byte_slices, cut, find_words, prepare, text_bytes, whole_rows
+from wayfare.llm.common import LOWER, SLICE_BYTES, SPACE, RollingHash, byte_slices, cut, find_words, prepare, text_bytes, whole_rows
 
 #: Bounds of what is fitted on the driver.
 LABELLED, TELLING_WORDS, LEAST_DOCS = 8000, 400, 4
@@ -84,7 +84,7 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in byte_slices(batches, 0):
+    for batch in byte_slices(batches, 0, limit=SLICE_BYTES):
         values, words, at = measure(batch.column(0))
         lists = [np.unique(words[at[k] : at[k + 1]]).view(np.int64) for k in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(values), pa.list_(pa.float64())), pa.array(lists, pa.list_(pa.int64()))], names=["low", "toxic", "measures", "words"])
@@ -162,7 +162,7 @@ def _scores(evidence: Evidence):
         for batch in batches:
             texts = batch.column(0).field(next(k for k, f in enumerate(batch.column(0).type) if f.name.lower() == "text"))
             parts = [np.zeros((0, 2))]
-            for part in byte_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
+            for part in byte_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, limit=SLICE_BYTES):
                 parts.append(np.clip(evidence.log_odds(*measure(part.column(0))), -12, 12))
             odds = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds[:, 0]), pa.array(odds[:, 1])], names=[*batch.schema.names, "low_odds", "toxic_odds"])
