@@ -91,22 +91,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Hashes of byte ranges are polynomials modulo this prime: modulo a power of two some unlike words are equal for any base.
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
+BASE_INVERSE = pow(BASE, -1, PRIME)
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Bytes whose terms are added up before they are reduced.
+_BLOCK = 1 << 22
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)  # below the prime the difference wraps around
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    a_high, a_low, b_high, b_low = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a_low * b_high + a_high * b_low
+    return _reduced(a_high * b_high * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + a_low * b_low)
 
 
 @lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, BASE_INVERSE):
-        p = np.full((1 << bits) + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
+        p = np.ones((1 << bits) + 1, np.uint64)
+        for k in range(bits):  # the first 2**k powers give the next ones
+            p[1 << k : 2 << k] = times(p[: 1 << k], np.uint64(pow(base, 1 << k, PRIME)))
+        p[-1] = pow(base, 1 << bits, PRIME)
+        out.append(p)
     return out[0], out[1]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n at least."""
+    """base**i and base**-i modulo PRIME for i up to n at least."""
     return _powers(max(20, int(n).bit_length()))
 
 
@@ -116,10 +136,15 @@ class RollingHash:
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        for k in range(0, len(data), _BLOCK):
+            own = data[k : k + _BLOCK].astype(np.uint64) + np.uint64(1)
+            power = up[k : k + len(own)]
+            high, low = np.cumsum(own * (power >> _31)), np.cumsum(own * (power & _LOW31))
+            self.sums[k + 1 : k + 1 + len(own)] = _reduced(((high & _LOW30) << _31) + (high >> _30) + (low & _P) + (low >> _61) + self.sums[k])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        between = self.sums[ends] + (_P - self.sums[starts])
+        return mix(times(np.minimum(between, between - _P), self.down[starts]))
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,12 +42,31 @@ _POINT[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B,
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
+def _eights(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the last eight bytes are padding."""
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def _same_bytes(left: np.ndarray, at: np.ndarray, right: np.ndarray, other: np.ndarray, size: np.ndarray) -> bool:
+    """Whether words of more than eight bytes (see _eights) are the same at both places."""
+    left_at, right_at, last = (x[size > 8] for x in (at, other, size - 8))
+    step = 0
+    while len(last):
+        step += 8
+        move = np.minimum(step, last)
+        if (left[left_at + move] != right[right_at + move]).any():
+            return False
+        more = last > step
+        left_at, right_at, last = left_at[more], right_at[more], last[more]
+    return True
+
+
 class WordTokens:
     """Token ids of whole texts, word by word.
 
     The vocabulary drops white space and never joins across it, nor letters with punctuation, so a text's ids are those of
-    these words in order. It lower-cases as well, so A-Z are lower-cased first. Words are told apart by their hash, length
-    and first eight bytes; each is encoded by the tokenizers library once and kept in flat arrays. Letters U+00C0 to
+    these words in order. It lower-cases as well, so A-Z are lower-cased first. Words are found by their hash and compared
+    byte by byte; each is encoded by the tokenizers library once and kept in flat arrays. Letters U+00C0 to
     U+00FF count as letters like a to z; words of letters alone, or of punctuation alone, are one unit to the tokenizer
     each and are encoded many at a time: a token that ends a word tells where.
     """
@@ -64,6 +83,7 @@ class WordTokens:
     def forget(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.spelt, self.letters = np.zeros(0, np.int64), np.zeros(8, np.uint8)  # where each word's bytes are; eight more at the end
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,7 +145,8 @@ class WordTokens:
         if not len(starts):
             return np.zeros(0, np.uint32), at * 0
         hashes = RollingHash(data).ranges(starts, ends)
-        eight = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))[starts]
+        eights = _eights(np.append(data, np.zeros(8, np.uint8)))
+        eight = eights[starts]
         size = ends - starts
         checks = (eight << (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         unique, first, of = np.unique(hashes, return_index=True, return_inverse=True)
@@ -139,11 +160,15 @@ class WordTokens:
             keys = np.append(self.keys, unique[fresh])
             by = np.argsort(keys, kind="stable")
             self.begin = np.append(self.begin, len(self.ids) + np.cumsum(count) - count)[by]
+            span = np.concatenate([[0], np.cumsum(size[own])])
+            take = np.repeat(starts[own] - span[:-1], size[own]) + np.arange(span[-1])
+            self.spelt = np.append(self.spelt, len(self.letters) - 8 + span[:-1])[by]
+            self.letters = np.concatenate([self.letters[:-8], data[take], np.zeros(8, np.uint8)])
             self.size, self.checks, self.keys = np.append(self.size, count)[by], np.append(self.checks, checks[own])[by], keys[by]
             self.ids = np.append(self.ids, ids)
             place = np.searchsorted(self.keys, unique)
-        if (self.checks[place][of] != checks).any():  # two words with one hash
-            return self._apart(column)
+        if (self.checks[place][of] != checks).any() or not _same_bytes(eights, starts, _eights(self.letters), self.spelt[place][of], size):
+            return self._apart(column)  # two words with one hash
         many = self.size[place][of]
         stops = np.concatenate([[0], np.cumsum(many)])
         take = np.repeat(self.begin[place][of] - stops[:-1], many) + np.arange(stops[-1])
