@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality
+from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality, whitening
 from wayfare.llm.common import table
 
 #: The conversation whose texts look like control strings.
@@ -57,10 +57,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_repeated_bytes, op2_passage_banding, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards,
-        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing,
+        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing, op12_embedding_whitening,
     )
     return {f.__name__: f for f in found}
 
