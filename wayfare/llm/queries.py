@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality, whitening
+from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality, spelling, whitening
 from wayfare.llm.common import table
 
 #: The conversation whose texts look like control strings.
@@ -61,10 +61,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_repeated_bytes, op2_passage_banding, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards,
-        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing, op12_embedding_whitening,
+        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing, op12_embedding_whitening, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -170,8 +174,30 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged"""
 
 
+#: Near words share a form with one letter masked or one place left open; CRC-32 as in op6.
+_OP13 = rf"""
+WITH RECURSIVE shifts AS (SELECT n, 0 AS k, n AS c FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM shifts WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY n) AS t FROM shifts WHERE k = 8),
+runs AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+digits AS (SELECT run, times, hex(encode(keyed)) AS h FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ((instr('0123456789ABCDEF', substr(h, i, 1)) - 1)*16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM digits CROSS JOIN remainders),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed) GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3),
+replaced AS (SELECT word, n, substr(word, 1, i::INT) || '*' || substr(word, i::INT + 2) AS g FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+dropped AS (SELECT DISTINCT word, n, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS g FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS v, b.n AS m FROM replaced a JOIN replaced b ON a.g = b.g AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM dropped d JOIN words w ON w.word = d.g UNION SELECT w.word, w.n, d.word, d.n FROM dropped d JOIN words w ON w.word = d.g),
+best AS (SELECT word, count(*) AS n_near, first(v ORDER BY m DESC, v) AS v, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2*w.n THEN v END AS form, CASE WHEN m >= 2*w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ways AS (SELECT word, word AS root FROM forms UNION ALL SELECT ways.word, f.form FROM ways JOIN forms f ON f.word = ways.root WHERE f.form IS NOT NULL),
+last AS (SELECT ways.word, ways.root FROM ways JOIN forms f ON f.word = ways.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN last ON last.word = f.word"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_repeated_bytes": _OP1, "op3_chat_prefix_tree": _OP3, "op4_minhash_near_duplicates": _OP4, "op5_benchmark_leaks": _OP5, "op6_stratified_shards": _OP6,
-        "op7_divergence_rules": _OP7,
+        "op7_divergence_rules": _OP7, "op13_spelling_variants": _OP13,
     }
