@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality, spelling, whitening
+from wayfare.llm import chat, decontaminate, divergence, langid, minhash, packing, passages, repeats, sharding, site_quality, spelling, toxicity, whitening
 from wayfare.llm.common import table
 
 #: The conversation whose texts look like control strings.
@@ -57,6 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +72,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_repeated_bytes, op2_passage_banding, op3_chat_prefix_tree, op4_minhash_near_duplicates, op5_benchmark_leaks, op6_stratified_shards,
-        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing, op12_embedding_whitening, op13_spelling_variants,
+        op7_divergence_rules, op8_language_network, op9_site_quality, op10_best_fit_packing, op11_counterfactual_toxicity, op12_embedding_whitening, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
