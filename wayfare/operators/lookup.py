@@ -133,3 +133,35 @@ def od_options(questions: DataFrame, od: DataFrame) -> DataFrame:
     sums = rows.groupBy("query_id", "origin", "destination").agg(F.sum(p).alias("_p"), *(F.sum(p * F.col(m)).alias(m) for m in metrics))
     total = F.sum(F.greatest("_p", F.lit(0.0))).over(Window.partitionBy("query_id"))
     return sums.select("query_id", "origin", "destination", (F.greatest("_p", F.lit(0.0)) / F.greatest(total, F.lit(1e-12))).alias("probability"), *((F.col(m) / F.greatest("_p", F.lit(1e-12))).alias(m) for m in metrics))
+
+
+def default_choices(origins: DataFrame, pairs: DataFrame, zones: DataFrame, most: int = 12) -> DataFrame:
+    """origin, destination, share for each origin asked: its largest flows, else the first zones alike."""
+    order = Window.partitionBy("origin").orderBy(F.desc("trip_count"), "destination")
+    largest = pairs.join(origins, "origin", "left_semi").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most)
+    share = F.col("trip_count") / F.sum("trip_count").over(Window.partitionBy("origin"))
+    seen = largest.select("origin", "destination", share.alias("share"))
+    first = zones.select("zone_id").distinct().orderBy("zone_id").limit(most)
+    alike = first.select(F.col("zone_id").alias("destination"), (1.0 / F.count(F.lit(1)).over(Window.partitionBy())).alias("share"))  # a dozen zones
+    return seen.unionByName(origins.join(seen, "origin", "left_anti").crossJoin(F.broadcast(alike)).select("origin", "destination", "share"))
+
+
+def od_options_or_default(questions: DataFrame, model, od: DataFrame | None = None, pairs: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
+    """od_options, and where an origin has no stored row around the minute the default choices, estimated through all sources.
+
+    Adds is_default. od and pairs stand in for the model's own stored estimates and flows. Each (origin, destination) of a
+    default is estimated once a bin, whatever the number of questions.
+    """
+    metrics = {"revenue": "driver_revenue", "minutes": "duration_min", "miles": "distance_miles", "revenue_std": "revenue_dev", "minutes_std": "duration_dev", "miles_std": "distance_dev", "confidence": "confidence"}
+    od, pairs = model.od if od is None else od, model.pairs if pairs is None else pairs
+    stored = od_options(questions, od).withColumn("is_default", F.lit(False))
+    sided = two_bins(questions, params)
+    without = questions.join(sided.join(od.select("time_bin", "origin").distinct(), ["time_bin", "origin"], "left_semi").select("query_id").distinct(), "query_id", "left_anti")
+    choices = default_choices(without.select("origin").distinct(), pairs, model.zones)
+    asked = two_bins(without, params)
+    cells = asked.select("time_bin", "origin").distinct().join(choices, "origin")
+    known = estimate_od_bin(cells, model, params).select("time_bin", "origin", "destination", "share", *metrics)
+    rows = asked.join(known, ["time_bin", "origin"])
+    mixed = [F.sum(F.col("bin_weight") * F.col(a)).alias(b) for a, b in metrics.items()]
+    answered = rows.groupBy("query_id", "origin", "destination").agg(F.first("share").alias("probability"), *mixed).withColumn("is_default", F.lit(True))
+    return stored.unionByName(answered.select(stored.columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import columns as col
@@ -53,8 +53,17 @@ def zone_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(zone.alias("zone_id"), F.col("r_name").alias("borough"), name.alias("zone_name"), ((F.col("n_nationkey") % 5) * 9000.0).cast("double").alias("centroid_x"), (F.floor(F.col("n_nationkey") / 5) * 9000.0).cast("double").alias("centroid_y"))
 
 
-def adjacency_view(zones: DataFrame) -> DataFrame:
-    return space.zone_pairs(zones).filter((F.col("origin") < F.col("destination")) & (F.col("miles") <= 9000.5 / 5280)).select("origin", "destination")
+def vertex_view(zones: DataFrame) -> DataFrame:
+    """Outlines as vertices (zone_id, ring, seq, x, y) in feet: a square around each centroid, every other one with a square hole."""
+    k = F.col("zone_id") - 1
+
+    def square(ring: int, x: Column, y: Column, half: Column, right: tuple[int, ...], up: tuple[int, ...]) -> Column:
+        return F.array(*(F.struct(F.lit(ring).alias("ring"), F.lit(s).alias("seq"), (x + half * a).cast("double").alias("x"), (y + half * b).cast("double").alias("y")) for s, (a, b) in enumerate(zip(right, up, strict=True))))
+
+    x, y = F.col("centroid_x"), F.col("centroid_y")
+    outer = square(0, x, y, 4390 + 5 * (k % 4), (-1, 1, 1, -1), (-1, -1, 1, 1))
+    hole = square(1, x + 800 + 100 * (k % 5), y - 500, 600 + 100 * (k % 3), (-1, -1, 1, 1), (-1, 1, 1, -1))
+    return zones.select("zone_id", F.inline(F.when(k % 2 == 1, F.concat(outer, hole)).otherwise(outer)))
 
 
 def model(spark: SparkSession, sf_dir: str) -> TripModel:
@@ -62,7 +71,7 @@ def model(spark: SparkSession, sf_dir: str) -> TripModel:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         zones = zone_view(spark, sf_dir)
-        _models[key] = TripModel(trip_view(spark, sf_dir), zones, adjacency_view(zones))
+        _models[key] = TripModel(trip_view(spark, sf_dir), zones, space.zone_adjacency(vertex_view(zones)))
     return _models[key]
 
 

@@ -64,7 +64,7 @@ def min_confidence_od(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revenue_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean revenue of each origin when one origin's rises by a twentieth."""
     rows = candidates.with_revenue_multiplier(model(spark, sf_dir).od, 8, 1.05)
-    return rounded(rows.groupBy("origin").agg(F.sum(F.col("destination_probability") * F.col("driver_revenue")).alias("revenue"), F.avg("revenue_dev").alias("revenue_dev")))
+    return rounded(rows.groupBy("origin").agg(F.sum(F.col("destination_probability") * F.col("driver_revenue")).alias("revenue"), F.avg("revenue_dev").alias("revenue_dev")), 3)
 
 
 @query

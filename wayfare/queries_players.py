@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def _once(name: str):
 @query
 def observed_od_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observed cells, written as a partitioned table and read back."""
-    folder = f"{shared_dir(spark)}/observed-{spark.sparkContext.applicationId}"
+    folder = f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}"  # one for each call: earlier results stay readable
     observed = model(spark, sf_dir).observed
     write_observed_od(observed, folder)
     back = spark.read.parquet(f"{folder}/observed_od")

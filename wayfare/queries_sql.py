@@ -355,7 +355,7 @@ ORACLES |= {
         "(SELECT time_bin, origin, destination, confidence, p/sum(p) OVER (PARTITION BY time_bin, origin) AS p FROM (SELECT *, max(confidence) OVER (PARTITION BY time_bin, origin) AS best, row_number() OVER (PARTITION BY time_bin, origin ORDER BY confidence DESC, destination) AS k FROM od) WHERE confidence >= 0.6 OR (k = 1 AND best < 0.6))",
         "confidence; p destination_probability", 4,
     ),
-    "revenue_what_if": _select("origin", "od GROUP BY origin", "sum(p*revenue*CASE_ONE) revenue; avg(dev*CASE_ONE) revenue_dev".replace("CASE_ONE", "(1+(origin=8)::INT*0.05::DOUBLE)")),
+    "revenue_what_if": _select("origin", "od GROUP BY origin", "sum(p*revenue*CASE_ONE) revenue; avg(dev*CASE_ONE) revenue_dev".replace("CASE_ONE", "(1+(origin=8)::INT*0.05::DOUBLE)"), 3),
     "competition_what_if": _select("competition_scenario", "(SELECT s AS competition_scenario, CASE s WHEN 'low' THEN wait_low WHEN 'medium' THEN wait_medium ELSE wait_high END AS w FROM nodes, (VALUES ('low'), ('medium'), ('high')) AS v(s)) GROUP BY competition_scenario", "avg(w) mean_wait; max(w) longest_wait"),
     "bin_snapshot": _select("f.zone_id, z.zone_name, z.borough", "full_nodes f JOIN zones z ON z.zone_id = f.zone_id WHERE time_bin = 32", "posterior; supply; wait_medium expected_wait"),
     "holdout_errors": _select(
