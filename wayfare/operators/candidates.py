@@ -14,6 +14,9 @@ from wayfare.plans.params import DEFAULT, Params
 #: In the order in which they fill the selection.
 METRICS = ("demand", "net_trip", "net_rate", "competition_advantage", "proximity", "destination_probability")
 
+#: Digits to which metrics are compared, so that sums in another order make no other ranks.
+NEAR = 9
+
 
 def trip_scores(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Adds net_trip, net_rate, demand and competition_advantage to node metrics."""
@@ -23,9 +26,10 @@ def trip_scores(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def leaders(nodes: DataFrame, params: Params = DEFAULT, scenario: str = "medium") -> DataFrame:
-    """time_bin, zone_id of the leading zones of each bin by five scores."""
+    """time_bin, zone_id of the leading zones of each bin by five scores; equal to NEAR digits is equal."""
     own = trip_scores(nodes.withColumn("expected_wait", F.col(f"expected_wait_{scenario}")), params)
     scores = ("demand", "net_trip", "net_rate", "competition_advantage", "node_confidence")
+    own = own.withColumns({m: F.round(m, NEAR) for m in scores})
     return bin_leaders(own, [(m, False) for m in scores], max(8, params.candidate_zones))
 
 
@@ -60,11 +64,12 @@ def candidate_details(states: DataFrame, model, params: Params = DEFAULT, scenar
     total = F.lit(0)
     first = F.lit(None).cast("int")
     for k, m in enumerate(METRICS):
-        rows = rows.withColumn(f"rank_{m}", F.rank().over(Window.partitionBy("state_id").orderBy(F.desc(m)))).withColumn(f"_k_{m}", F.row_number().over(Window.partitionBy("state_id").orderBy(F.desc(m), "destination")))
+        falling = F.round(m, NEAR).desc()
+        rows = rows.withColumn(f"rank_{m}", F.rank().over(Window.partitionBy("state_id").orderBy(falling))).withColumn(f"_k_{m}", F.row_number().over(Window.partitionBy("state_id").orderBy(falling, "destination")))
         total = total + F.col(f"rank_{m}")
         first = F.coalesce(first, F.when(F.col(f"_k_{m}") <= params.candidate_quota, k * params.candidate_quota + F.col(f"_k_{m}")))
     rows = rows.withColumn("rank_sum", total).withColumn("_first", first)
-    order = Window.partitionBy("state_id").orderBy(F.col("_first").asc_nulls_last(), "rank_sum", "route_minutes", "destination")
+    order = Window.partitionBy("state_id").orderBy(F.col("_first").asc_nulls_last(), "rank_sum", F.round("route_minutes", NEAR), "destination")
     ranked = rows.withColumn("selected_rank", F.row_number().over(order)).withColumn("selected", F.col("selected_rank") <= params.candidate_zones)
     return ranked.drop("_first", *(f"_k_{m}" for m in METRICS))
 

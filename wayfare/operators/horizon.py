@@ -12,7 +12,7 @@ from wayfare.functions.columns import conditional_wait, pickup_probability
 from wayfare.operators.lookup import node_at, od_options
 from wayfare.operators.space import route_at
 from wayfare.plans.params import DEFAULT, Params
-from wayfare.sources.lineage import settle
+from wayfare.sources.lineage import discard, settle
 
 
 def _steps(zones: DataFrame, start: float, params: Params) -> DataFrame:
@@ -50,37 +50,39 @@ def _clamped(step: Column, end: Column, last: int) -> tuple[Column, Column, Colu
 def finite_horizon_values(waits: DataFrame, moves: DataFrame, masks: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """mask, step, zone_id, value, target (null: wait) for each row of masks.
 
-    masks: mask, allowed (array of target zones; null allows all). Transitions are small against masks x zones, so each
-    step joins them with the values so far, dealt by mask; a step's values are written before the next.
+    masks: mask, allowed (array of target zones; null allows all). A row for each mask and zone carries the values of all
+    later steps, so a step looks each end of its transitions up once; transitions are small against masks x zones. A
+    step's rows are written before the next.
     """
     last = params.steps
     zones = waits.select("zone_id").union(moves.select("zone_id")).distinct()
-    values = settle(masks.select("mask").crossJoin(F.broadcast(zones)).select("mask", F.lit(last).alias("step"), "zone_id", F.lit(0.0).alias("value"), F.lit(None).cast("int").alias("target")))
-    every = values
+    masks = masks.select("mask", "allowed")
+    state = settle(masks.crossJoin(F.broadcast(zones)).select("mask", "allowed", "zone_id", F.array(F.lit(0.0)).alias("values"), F.array(F.lit(None).cast("int")).alias("targets")))
 
     def ahead(rows: DataFrame, at: str) -> DataFrame:
-        """Transitions of the step with `future` for each mask: two look-ups of the values between which they end."""
+        """Transitions that end within the horizon, with `future` for each mask: a mix of the values between which they end."""
         low, high, share = _clamped(F.col("step"), F.col("end_pos"), last)
-        ended = rows.filter(F.col("end_pos") <= last + 1e-12).withColumns({"_lo": low, "_hi": high, "_t": share})
-        v = every.select("mask", F.col("step").alias("_s"), F.col("zone_id").alias("_z"), "value")
-        first = ended.join(v.toDF("mask", "_s1", "_z1", "_v1"), (F.col("_lo") == F.col("_s1")) & (F.col(at) == F.col("_z1")))
-        both = first.join(v.toDF("_m2", "_s2", "_z2", "_v2"), (F.col("mask") == F.col("_m2")) & (F.col("_hi") == F.col("_s2")) & (F.col(at) == F.col("_z2")))
-        return both.withColumn("future", (1 - F.col("_t")) * F.col("_v1") + F.col("_t") * F.col("_v2"))
+        ended = rows.filter(F.col("end_pos") <= last + 1e-12).withColumns({"_lo": last - low + 1, "_hi": last - high + 1, "_t": share}).withColumnRenamed("zone_id", "_from")
+        later = ended.join(state.select("mask", "allowed", F.col("zone_id").alias(at), "values"), at)
+        return later.withColumn("future", (1 - F.col("_t")) * F.element_at("values", F.col("_lo")) + F.col("_t") * F.element_at("values", F.col("_hi")))
 
     for step in range(last - 1, -1, -1):
         own = F.col("step") == step
-        picked = ahead(waits.filter(own), "destination").groupBy("mask", "zone_id").agg(F.sum(F.col("probability") * (F.col("reward") + F.col("future"))).alias("picked"))
+        worth = F.col("probability") * (F.col("reward") + F.col("future"))
+        trips = ahead(waits.filter(own), "destination").select("mask", F.col("_from").alias("zone_id"), worth.alias("worth"), F.lit(None).cast("double").alias("gain"), F.lit(None).cast("int").alias("less"))
+        moved = ahead(moves.filter(own), "target").filter("allowed is null or array_contains(allowed, target)")
+        moved = moved.select("mask", F.col("_from").alias("zone_id"), F.lit(None).cast("double").alias("worth"), (F.col("future") - F.col("cost")).alias("gain"), (-F.col("target")).cast("int").alias("less"))
+        found = trips.unionByName(moved).groupBy("mask", "zone_id").agg(F.sum("worth").alias("picked"), F.max(F.when(F.col("gain").isNotNull(), F.struct("gain", "less"))).alias("m"))
         chance = waits.filter(own).groupBy("zone_id").agg(F.max("pickup").alias("pickup"))
-        after = every.filter(F.col("step") == step + 1).select("mask", "zone_id", F.col("value").alias("later"))
         p = F.coalesce("pickup", F.lit(0.0))
-        wait = after.join(chance, "zone_id", "left").join(picked, ["mask", "zone_id"], "left").select("mask", "zone_id", ((1 - p) * F.col("later") + p * F.coalesce("picked", F.lit(0.0))).alias("wait"))
-        moved = ahead(moves.filter(own), "target").join(masks.select("mask", "allowed"), "mask").filter("allowed is null or array_contains(allowed, target)")
-        moved = moved.select("mask", "zone_id", F.struct((F.col("future") - F.col("cost")).alias("gain"), (-F.col("target")).alias("less")).alias("m")).groupBy("mask", "zone_id").agg(F.max("m").alias("m"))
-        best = wait.join(moved, ["mask", "zone_id"], "left")
-        better = F.coalesce(F.col("m.gain") > F.col("wait") + 1e-12, F.lit(False))
-        here = settle(best.select("mask", F.lit(step).alias("step"), "zone_id", F.when(better, F.col("m.gain")).otherwise(F.col("wait")).alias("value"), F.when(better, -F.col("m.less")).cast("int").alias("target")))
-        every = every.unionByName(here)
-    return every
+        stay = (1 - p) * F.element_at("values", -1) + p * F.coalesce("picked", F.lit(0.0))
+        rows = state.join(found, ["mask", "zone_id"], "left").join(chance, "zone_id", "left").withColumn("stay", stay)
+        better = F.coalesce(F.col("m.gain") > F.col("stay") + 1e-12, F.lit(False))
+        value, target = F.when(better, F.col("m.gain")).otherwise(F.col("stay")), F.when(better, -F.col("m.less"))
+        before, state = state, settle(rows.select("mask", "allowed", "zone_id", F.array_append("values", value).alias("values"), F.array_append("targets", target).alias("targets")))
+        discard(before)
+    each = state.select("mask", "zone_id", F.posexplode(F.arrays_zip("values", "targets")).alias("k", "at"))
+    return each.select("mask", (last - F.col("k")).cast("int").alias("step"), "zone_id", F.col("at.values").alias("value"), F.col("at.targets").alias("target"))
 
 
 def optimal_actions(values: DataFrame) -> DataFrame:

@@ -68,9 +68,16 @@ class Variant:
         return candidates.with_revenue_multiplier(od, self.zone, self.factor) if self.factor != 1.0 else od
 
 
-class _Changed:
-    def __init__(self, model, od: DataFrame):
-        self.__dict__.update(nodes=model.nodes, zones=model.zones, routes=model.routes, profiles=model.profiles, od=od)
+class Changed:
+    """A model of which some tables are others."""
+
+    def __init__(self, model, **tables: DataFrame):
+        self._model, self._tables = model, tables
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self._tables[name] if name in self._tables else getattr(self._model, name)
 
 
 def game_values(model, start: float, start_zone: int, masks: DataFrame, targets: list[int], variants: list[Variant], params: Params = DEFAULT) -> DataFrame:
@@ -80,7 +87,7 @@ def game_values(model, start: float, start_zone: int, masks: DataFrame, targets:
     wanted = model.zones.select("zone_id").distinct().crossJoin(F.broadcast(steps)).withColumn("target", F.explode(F.array(*(F.lit(z) for z in targets))))  # a city's zones x steps x players
     moves = settle(horizon.move_transitions(model, start, wanted, params))
     shifted = lambda df, k, *names: df.withColumns({c: (F.col(c) + k * SHIFT).cast("int") for c in names})
-    waits = [shifted(horizon.wait_transitions(_Changed(model, v.od(model.od)), start, params), k, "zone_id", "destination") for k, v in enumerate(variants)]
+    waits = [shifted(horizon.wait_transitions(Changed(model, od=v.od(model.od)), start, params), k, "zone_id", "destination") for k, v in enumerate(variants)]
     every = [shifted(moves, k, "zone_id", "target") for k in range(len(variants))]
     allowed = F.flatten(F.transform("allowed", lambda z: F.array(*((z + k * SHIFT).cast("int") for k in range(len(variants))))))
     solved = horizon.finite_horizon_values(settle(reduce(DataFrame.unionByName, waits)), settle(reduce(DataFrame.unionByName, every)), settle(masks.select("mask", allowed.alias("allowed"))), params)

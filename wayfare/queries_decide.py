@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators import candidates, episodes, policies, shapley, studies
-from wayfare.plans.params import DEFAULT
+from wayfare.operators import candidates, episodes, nodes, policies, shapley, space, studies
+from wayfare.operators.players import Changed
+from wayfare.plans.params import DEFAULT, Params
 from wayfare.queries import model, query, rounded, trip_view
 from wayfare.sources.lineage import settle
 
@@ -16,17 +17,35 @@ START = 480.0
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policies.state_grid(model(spark, sf_dir).zones, START, [15.0 * k for k in range(8)])
+#: Few zones are near enough to be candidates for that alone, so that leaders, likely destinations and flows matter.
+BOARD = Params(candidate_near=6)
+_boards: dict[tuple[str, str], Changed] = {}
+_details: dict[tuple[str, str], DataFrame] = {}
 
 
-_details: dict[tuple[str, str], DataFrame] = {}
+def board(spark: SparkSession, sf_dir: str) -> Changed:
+    """The model with empty streets and a tariff by zone, so that moving can pay: decisions are made on it.
+
+    Moves take the straight way at the fixed speed, as if no trip had been seen; revenue is scaled by the origin's tariff.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _boards:
+        m = model(spark, sf_dir)
+        routes = settle(space.shortest_routes(space.reposition_edges(m.adjacency, m.zones, m.pairs.limit(0))))
+        tariff = 0.5 + F.pmod(F.col("origin") * 7, F.lit(5)) / 2.0
+        od = settle(m.od.withColumns({c: F.col(c) * tariff for c in ("driver_revenue", "revenue_dev")}))
+        _boards[key] = Changed(m, od=od, routes=routes, nodes=settle(nodes.attach_trip_expectations(m.bare_nodes, od)))
+    return _boards[key]
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.state_grid(model(spark, sf_dir).zones, START, [15.0 * k for k in range(8)])
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _details:
-        _details[key] = settle(candidates.candidate_details(_states(spark, sf_dir), model(spark, sf_dir)))
+        _details[key] = settle(candidates.candidate_details(_states(spark, sf_dir), board(spark, sf_dir), BOARD))
     return _details[key]
 
 
@@ -38,8 +57,8 @@ def candidate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The action of each scoring policy in every state of the grid."""
-    m, states, details = model(spark, sf_dir), _states(spark, sf_dir), _candidates(spark, sf_dir)
-    each = [policies.best_moves(states, details, m, p).select(F.lit(p).alias("policy"), "state_id", "action") for p in policies.SCORES]
+    m, states, details = board(spark, sf_dir), _states(spark, sf_dir), _candidates(spark, sf_dir)
+    each = [policies.best_moves(states, details, m, p, BOARD).select(F.lit(p).alias("policy"), "state_id", "action") for p in policies.SCORES]
     each.append(policies.wait_only(states).select(F.lit("wait_only").alias("policy"), "state_id", "action"))
     return reduce(DataFrame.unionByName, each)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.operators import candidates, features, nodes, players, policies, shapley, studies
 from wayfare.plans.params import DEFAULT
 from wayfare.queries import _questions, model, query, rounded
-from wayfare.queries_decide import START, _candidates, _states
+from wayfare.queries_decide import BOARD, START, _candidates, _states, board
 from wayfare.queries_sql import ORACLES
 from wayfare.sources.lineage import settle, shared_dir
 from wayfare.sources.trips import write_observed_od
@@ -57,7 +57,7 @@ def start_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_once("coverage")
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(players.reachable_coverage(model(spark, sf_dir), START_ZONE, START, PLAYERS))
+    return settle(players.reachable_coverage(board(spark, sf_dir), START_ZONE, START, PLAYERS, BOARD))
 
 
 @query
@@ -71,7 +71,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = _coverage(spark, sf_dir)
     pool = [r.zone_id for r in coverage.filter(F.col("zone_id") != START_ZONE).orderBy(F.desc("coverage"), "zone_id").limit(POOL).collect()]
     masks = shapley.coalition_masks(spark, pool).filter("size <= 2")
-    values = settle(players.game_values(model(spark, sf_dir), START, START_ZONE, masks, pool, [players.Variant("as it is")]).drop("variant"))
+    values = settle(players.game_values(board(spark, sf_dir), START, START_ZONE, masks, pool, [players.Variant("as it is")]).drop("variant"))
     values = values.withColumn("value", F.round("value", TIES))
     return settle(shapley.select_players(players.player_scores(values, coverage, pool), PLAYERS))
 
@@ -91,7 +91,7 @@ def _game(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = _players(spark, sf_dir)
     rises = [players.Variant(f"income {k + 1}", zone=who[0], factor=1 + x) for k, x in enumerate(players.INCOME_STEPS)]
     variants = [players.Variant("as it is"), players.Variant("sure", least_confidence=players.LOW_CONFIDENCE), *rises]
-    return settle(players.game_values(model(spark, sf_dir), START, START_ZONE, shapley.coalition_masks(spark, who), who, variants))
+    return settle(players.game_values(board(spark, sf_dir), START, START_ZONE, shapley.coalition_masks(spark, who), who, variants))
 
 
 def _values(spark: SparkSession, sf_dir: str, variant: str = "as it is") -> DataFrame:
@@ -113,7 +113,7 @@ def zone_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def zone_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shapley.exact_shapley(_values(spark, sf_dir), _players(spark, sf_dir))
-    return rounded(players.zone_diagnostics(found, model(spark, sf_dir), START))
+    return rounded(players.zone_diagnostics(found, board(spark, sf_dir), START))
 
 
 @query
@@ -144,9 +144,9 @@ def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once("baselines")
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapley values over four baselines: no zone always allowed, or the best zone outside by one of three scores."""
-    who, m = _players(spark, sf_dir), model(spark, sf_dir)
+    who, m = _players(spark, sf_dir), board(spark, sf_dir)
     at = spark.range(1).select(F.lit(0).cast("long").alias("state_id"), F.lit(START_ZONE).alias("zone_id"), F.lit(START).alias("minute"))
-    details = candidates.candidate_details(at, m).filter("selected")
+    details = candidates.candidate_details(at, m, BOARD).filter("selected")
     scored = details.select(F.col("destination").alias("zone_id"), *(F.round(policies.SCORES[p][0](DEFAULT), TIES).alias(n) for n, p in (("demand", "highest_demand"), ("income", "highest_income"), ("greedy", "greedy_net_earnings"))))
     outside = studies.external_baselines(scored, _selected(spark, sf_dir).select(F.col("player").alias("zone_id"))).first()
     base = {"wait_only": [], **{n: [outside[n]] for n in ("demand", "income", "greedy") if outside[n] is not None}}
@@ -188,7 +188,7 @@ def state_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def state_action_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every selected candidate and of waiting, in every state of the grid."""
-    m, states = model(spark, sf_dir), _states(spark, sf_dir)
+    m, states = board(spark, sf_dir), _states(spark, sf_dir)
     moves = _candidates(spark, sf_dir).filter("selected").select("state_id", F.col("destination").alias("action"))
     actions = moves.unionByName(states.select("state_id", F.lit(None).cast("int").alias("action")))
     return rounded(features.state_action_features(states, actions, m, nodes.pickup_scale(m.posterior)).drop("minute", "remaining"))
