@@ -72,7 +72,7 @@ def finite_horizon_values(waits: DataFrame, moves: DataFrame, masks: DataFrame,
         trips = ahead(waits.filter(own), "destination").select("mask", F.col("_from").alias("zone_id"), worth.alias("worth"), F.lit(None).cast("double").alias("gain"), F.lit(None).cast("int").alias("less"))
         moved = ahead(moves.filter(own), "target").filter("allowed is null or array_contains(allowed, target)")
         moved = moved.select("mask", F.col("_from").alias("zone_id"), F.lit(None).cast("double").alias("worth"), (F.col("future") - F.col("cost")).alias("gain"), (-F.col("target")).cast("int").alias("less"))
-        found = trips.unionByName(moved).groupBy("mask", "zone_id").agg(F.sum("worth").alias("picked"), F.max(F.when(F.col("gain").isNotNull(), F.struct("gain", "less"))).alias("m"))
+        found = trips.unionByName(moved).groupBy("mask", "zone_id").agg(F.sum("worth").alias("picked"), F.max(F.when(F.col("gain").isNotNull(), F.struct(F.round("gain", 9).alias("near"), "less", "gain"))).alias("m"))  # of nearly equal moves the smaller target
         chance = waits.filter(own).groupBy("zone_id").agg(F.max("pickup").alias("pickup"))
         p = F.coalesce("pickup", F.lit(0.0))
         stay = (1 - p) * F.element_at("values", -1) + p * F.coalesce("picked", F.lit(0.0))
