@@ -4,7 +4,7 @@ import pytest
 from compare import differences, duck
 from conftest import MIDDLE
 
-from wayfare import queries, queries_board, queries_decide, queries_players, queries_space  # noqa: F401  register more
+from wayfare import queries, queries_board, queries_decide, queries_events, queries_players, queries_space  # noqa: F401  register more
 
 CON = duck(MIDDLE)
 

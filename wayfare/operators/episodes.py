@@ -15,13 +15,23 @@ from wayfare.plans.params import DEFAULT, Params
 # ---------------------------------------------------------------- draws
 
 
+def keyed_digits(*keys: Column) -> Column:
+    """32 hexadecimal digits fixed by the keys, the same in any engine that has MD5."""
+    return F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)).cast("binary"))
+
+
+def _bits(digits: Column) -> Column:
+    """The number of the first 13 digits, below 2 ** 52."""
+    return F.conv(F.substring(digits, 1, 13), 16, 10).cast("long")
+
+
 def scenario_bank(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("scenario_id"), F.abs(F.xxhash64(F.lit(seed), "id")).alias("base_seed"))
+    return spark.range(n).select(F.col("id").alias("scenario_id"), _bits(keyed_digits(F.lit(seed), F.col("id"))).alias("base_seed"))
 
 
 def keyed_uniform(*keys: Column) -> Column:
     """A number in (0, 1) fixed by the keys, so policies share their random numbers."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return (_bits(keyed_digits(*keys)).cast("double") + 0.5) / float(1 << 52)
 
 
 def keyed_normal(*keys: Column) -> Column:

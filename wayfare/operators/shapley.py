@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfare.operators.episodes import keyed_digits
+
 
 def coalition_masks(spark: SparkSession, players: list[int], base: list[int] | None = None) -> DataFrame:
     """mask, size, zones (players of the mask), allowed (with the always allowed): one row per subset."""
@@ -36,7 +38,7 @@ def sampled_shapley(values: DataFrame, players: list[int], permutations: int, se
     """player, shapley_value, standard_error over permutations drawn by hash, each with its reverse."""
     spark = values.sparkSession
     who = spark.createDataFrame([(z, 1 << k) for k, z in enumerate(players)], "player int, bit long")
-    drawn = spark.range((permutations + 1) // 2).select(F.col("id").alias("p")).join(F.broadcast(who)).withColumn("u", F.xxhash64(F.lit(seed), "p", "player"))
+    drawn = spark.range((permutations + 1) // 2).select(F.col("id").alias("p")).join(F.broadcast(who)).withColumn("u", keyed_digits(F.lit(seed), F.col("p"), F.col("player")))
     forward, back = Window.partitionBy("p").orderBy("u", "player"), Window.partitionBy("p").orderBy(F.desc("u"), F.desc("player"))
     before = lambda w: F.sum("bit").over(w.rowsBetween(Window.unboundedPreceding, 0))
     steps = drawn.select("player", "bit", before(forward).alias("with")).union(drawn.select("player", "bit", before(back).alias("with")))
@@ -120,7 +122,7 @@ def ablation(values: DataFrame, found: DataFrame, players: list[int], repeats: i
     ranked = found.join(F.broadcast(bits), "player")
     upto = Window.orderBy(F.desc("shapley_value"), "player").rowsBetween(Window.unboundedPreceding, 0)
     top = ranked.select(F.lit("top").alias("kind"), F.row_number().over(Window.orderBy(F.desc("shapley_value"), "player")).alias("removed"), F.lit(0).cast("long").alias("repeat"), F.sum("bit").over(upto).alias("gone"))
-    drawn = spark.range(repeats).select(F.col("id").alias("repeat")).join(F.broadcast(bits)).withColumn("u", F.xxhash64(F.lit(seed), "repeat", "player"))
+    drawn = spark.range(repeats).select(F.col("id").alias("repeat")).join(F.broadcast(bits)).withColumn("u", keyed_digits(F.lit(seed), F.col("repeat"), F.col("player")))
     w = Window.partitionBy("repeat").orderBy("u", "player")
     random = drawn.select(F.lit("random").alias("kind"), F.row_number().over(w).alias("removed"), "repeat", F.sum("bit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("gone"))
     full = values.filter(F.col("mask") == (1 << n) - 1).select(F.col("value").alias("full"))

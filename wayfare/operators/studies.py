@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import row_mean
-from wayfare.operators.episodes import keyed_uniform
+from wayfare.operators.episodes import keyed_digits, keyed_uniform
 from wayfare.operators.lookup import ESTIMATES, estimate_od
 from wayfare.plans.params import DEFAULT, Params
 
@@ -36,7 +36,7 @@ def holdout_cells(od: DataFrame, n: int, seed: int, least: int = 20) -> DataFram
     seen = od.filter("observed_trip_count > 0")
     enough, quarter = seen.agg(F.count_if(F.col("observed_trip_count") >= least), F.percentile("observed_trip_count", F.lit(0.75))).first()
     threshold = float(least) if enough else float(quarter or 0.0)
-    return seen.filter(F.col("observed_trip_count") >= threshold).orderBy(F.xxhash64(F.lit(seed), "time_bin", "origin", "destination"), "time_bin", "origin", "destination").limit(n)
+    return seen.filter(F.col("observed_trip_count") >= threshold).orderBy(keyed_digits(F.lit(seed), F.col("time_bin"), F.col("origin"), F.col("destination")), "time_bin", "origin", "destination").limit(n)
 
 
 def holdout_reconstruct(cells: DataFrame) -> DataFrame:

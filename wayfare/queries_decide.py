@@ -115,7 +115,7 @@ def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shapley_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(shapley.sampled_shapley(coalition_table(spark, sf_dir), _players(), 512, 7))
+    return rounded(shapley.sampled_shapley(coalition_table(spark, sf_dir), _players(), 512, 7), 3)
 
 
 @query
@@ -134,7 +134,7 @@ def axiom_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = coalition_table(spark, sf_dir)
     rows = shapley.ablation(values, shapley.exact_shapley(values, _players()), _players())
-    return rounded(shapley.ablation_summary(rows.filter("kind = 'top'")), 4)
+    return rounded(shapley.ablation_summary(rows), 3)
 
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ def holdout_tail_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def holdout_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of well observed cells, rebuilt."""
     cells = studies.holdout_cells(model(spark, sf_dir).od, 2000, 7)
-    return rounded(studies.holdout_reconstruct(cells).select("time_bin", "origin", "destination", "observed_trip_count", "held_revenue", "held_minutes", "held_miles"))
+    return rounded(studies.holdout_reconstruct(cells).select("time_bin", "origin", "destination", "observed_trip_count", "held_revenue", "held_minutes", "held_miles"), 3)
 
 
 @query

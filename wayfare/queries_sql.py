@@ -311,7 +311,12 @@ marginals AS (SELECT player, a.mask, bit_count(a.mask) AS size, b.value - a.valu
 shapley AS (SELECT player, sum(marginal * [24, 6, 4, 6, 24][size + 1] / 120.0::DOUBLE) AS shapley_value FROM marginals GROUP BY ALL),
 alone AS (SELECT player, marginal AS gain FROM marginals WHERE mask = 0),
 synergy AS (SELECT m.player, q.player AS partner, m.marginal - a.gain AS synergy FROM marginals m JOIN players q ON q.bit = m.mask JOIN alone a ON a.player = m.player),
-ranked AS (SELECT s.*, bit, row_number() OVER (ORDER BY shapley_value DESC, s.player) AS removed, sum(bit) OVER (ORDER BY shapley_value DESC, s.player ROWS UNBOUNDED PRECEDING) AS gone FROM shapley s JOIN players p ON p.player = s.player)
+drawn AS (SELECT r.range AS p, player, bit, md5(concat_ws(':', 7, r.range, player)) AS u FROM players, range(256) r),
+walked AS (SELECT player, bit, sum(bit) OVER (PARTITION BY p ORDER BY u, player ROWS UNBOUNDED PRECEDING) AS upto FROM drawn UNION ALL SELECT player, bit, sum(bit) OVER (PARTITION BY p ORDER BY u DESC, player DESC ROWS UNBOUNDED PRECEDING) FROM drawn),
+ranked AS (SELECT s.*, bit, row_number() OVER (ORDER BY shapley_value DESC, s.player) AS removed, sum(bit) OVER (ORDER BY shapley_value DESC, s.player ROWS UNBOUNDED PRECEDING) AS gone FROM shapley s JOIN players p ON p.player = s.player),
+taken AS (
+  SELECT 'top' AS kind, removed, gone FROM ranked
+  UNION ALL SELECT 'random', row_number() OVER (PARTITION BY p ORDER BY u, player), sum(bit) OVER (PARTITION BY p ORDER BY u, player ROWS UNBOUNDED PRECEDING) FROM drawn WHERE p < 20)
 """
 
 
@@ -330,6 +335,9 @@ def _errors(truth: str, held: str, source: str, by: str = "") -> str:
     return f"(SELECT {comma}count(*) AS n, avg(abs(e - t)) AS mae, sqrt(avg((e - t)*(e - t))) AS rmse, avg(e - t) AS bias, 100*avg(CASE WHEN t <> 0 THEN abs((e - t)/t) END) AS mape, corr(rt, re) AS spearman FROM {ranked}{' GROUP BY ' + by if by else ''})"
 
 
+#: A uniform draw by the first 52 bits of the keys' MD5.
+_UNIFORM = "((('0x' || substr(md5(concat_ws(':', 7, range, '{}')), 1, 13))::BIGINT + 0.5::DOUBLE)/4503599627370496)"
+
 _METRICS = "mae; rmse; bias; mape; spearman"
 
 ORACLES |= {
@@ -343,7 +351,17 @@ ORACLES |= {
     "smoothed_history": _events("event_type, day", "(SELECT *, avg(value) OVER (PARTITION BY event_type ORDER BY day ROWS 6 PRECEDING) AS smoothed FROM daily)", "value; smoothed", 4),
     "shapley_values": _events("player", "shapley", "shapley_value", 4),
     "pair_synergy": _events("player, partner", "(SELECT *, row_number() OVER (PARTITION BY player ORDER BY synergy DESC, partner) AS k FROM synergy) WHERE k = 1", "synergy", 4),
-    "ablation_summary": _events("'top' AS kind, removed::INT AS removed, 1::BIGINT AS n", "ranked r JOIN coalitions c ON c.mask = 31 - r.gone CROSS JOIN (SELECT value AS full_value FROM coalitions WHERE mask = 31)", "full_value-value mean_drop; 0.0::DOUBLE std_drop", 4),
+    "ablation_summary": _events("kind, removed::INT AS removed, count(*) AS n", "(SELECT kind, removed, full_value - value AS gone FROM taken t JOIN coalitions c ON c.mask = 31 - t.gone CROSS JOIN (SELECT value AS full_value FROM coalitions WHERE mask = 31)) GROUP BY kind, removed", "avg(gone) mean_drop; coalesce(stddev_samp(gone),0) std_drop", 3),
+    "shapley_sampled": _events("player", "(SELECT player, b.value - a.value AS gain FROM walked w JOIN coalitions b ON b.mask = w.upto JOIN coalitions a ON a.mask = w.upto - w.bit) GROUP BY player", "avg(gain) shapley_value; coalesce(stddev_samp(gain),0)/sqrt(count(*)) standard_error", 3),
+    "holdout_sample": f"""{_CHAIN}, enough AS (SELECT CASE WHEN count(*) FILTER (n >= 20) > 0 THEN 20 ELSE quantile_cont(n, 0.75) END AS least FROM od WHERE n > 0),
+chosen AS (SELECT od.* FROM od CROSS JOIN enough WHERE n > 0 AND n >= least ORDER BY md5(concat_ws(':', 7, time_bin, origin, destination)), time_bin, origin, destination LIMIT 2000)
+""" + _select("time_bin, origin, destination", "chosen", "n observed_trip_count; (w2*tr+w3*xr+w4*p_r+2*gr)/(w2+w3+w4+2) held_revenue; greatest(exp((w2*ln(tm)+w3*ln(xm)+w4*ln(p_m)+2*ln(gm))/(w2+w3+w4+2)),0.85*gm) held_minutes; (w2*td+w3*xd+w4*p_d+2*miles)/(w2+w3+w4+2) held_miles", 3).removeprefix(_CHAIN),
+    "coverage_summary": f"""{_CHAIN}, drawn AS (
+  SELECT range AS query_id, floor({_UNIFORM.format('o')}*25)::INT + 1 AS origin, floor({_UNIFORM.format('d')}*25)::INT + 1 AS destination, floor({_UNIFORM.format('m')}*1440)::DOUBLE AS minute FROM range(5000)),
+answers AS (
+  SELECT CASE WHEN t < 0.5 THEN a.source ELSE b.source END AS source, (1-t)*a.confidence + t*b.confidence AS confidence, (1-t)*a.observed_trip_count + t*b.observed_trip_count > 0 AS seen
+  FROM (SELECT *, floor(minute/15)::INT AS low, minute/15 - floor(minute/15) AS t FROM drawn) s JOIN estimate a ON a.time_bin = low AND a.origin = s.origin AND a.destination = s.destination JOIN estimate b ON b.time_bin = (low + 1) % 96 AND b.origin = s.origin AND b.destination = s.destination)
+""" + _select("count(*) AS questions, count(*) AS valid, (SELECT string_agg(source || '=' || n, '|' ORDER BY source) FROM (SELECT source, count(*) AS n FROM answers GROUP BY ALL)) AS sources", "answers", "avg(confidence) mean_confidence; avg(seen::INT) observed_share; 1.0::DOUBLE coverage").removeprefix(_CHAIN),
     "axiom_checks": _events(
         "*", "(SELECT 'efficiency' AS axiom, CASE WHEN abs((SELECT sum(shapley_value) FROM shapley) - (SELECT max(CASE WHEN mask = 31 THEN value END) - max(CASE WHEN mask = 0 THEN value END) FROM coalitions)) <= 1e-4 THEN 'PASS' ELSE 'FAIL' END AS status"
         " UNION ALL SELECT 'monotonicity', CASE WHEN (SELECT min(marginal) FROM marginals) >= -1e-4 THEN 'PASS' ELSE 'FAIL' END"
