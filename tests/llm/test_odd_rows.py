@@ -106,3 +106,52 @@ def test_banding_finds_nearly_all_pairs(spark):
     assert len(near) >= 150 and len(met) >= 0.9 * len(near)
 
 
+def templated(rng, lines, words, shared, edits):
+    """Lines that share a part, each with a copy of a few edited words."""
+    vocabulary = [f"t{k}" for k in range(20_000)]
+    part = rng.sample(vocabulary, int(words * shared))
+    out = []
+    for _ in range(lines):
+        line = part + rng.sample(vocabulary, words - len(part))
+        copy = list(line)
+        for k in rng.sample(range(len(part), words), edits):
+            copy[k] = rng.choice(vocabulary)
+        out += [" ".join(line), " ".join(copy)]
+    return out
+
+
+@pytest.mark.parametrize(("lines", "shared", "edits"), [(300, 0.75, 2), (200, 0.72, 3), (800, 0.7, 2)])
+def test_links_of_templated_lines_are_found(spark, docs_of, lines, shared, edits):
+    """Of all pairs that are similar by exact sets, the share that ends in one component, end to end."""
+    texts = templated(random.Random(lines), lines, 120, shared, edits)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    near = []
+    for k in range(0, len(sets), 2):
+        both = len(sets[k] & sets[k + 1])
+        if 100 * both >= 80 * (len(sets[k]) + len(sets[k + 1]) - both):
+            near.append(k)
+    rows = passages.remove_passages(docs_of(list(enumerate(texts)))).collect()
+    gone = {r.doc_id: r.n_words_removed > 0 for r in rows}
+    assert len(near) > 0.3 * lines
+    assert sum(gone[k + 1] for k in near) >= 0.97 * len(near)
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_large_buckets_are_banded_again(monkeypatch, most):
+    """Links of the sets of one bucket against all pairs, in slices as well."""
+    import numpy as np
+
+    monkeypatch.setattr(passages, "MOST", most)
+    rng = np.random.RandomState(1)
+    base = [rng.randint(1, 1 << 60, 50).astype(np.uint64) for _ in range(8)]
+    sets = [np.unique(np.append(b[: 50 - k], rng.randint(1, 1 << 60, k).astype(np.uint64))) for b in base for k in (0, 1, 2, 3)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    if most == 1000:
+        links = passages.verified_links(np.concatenate(sets), at, 80)
+        assert len(links) == 24 and all(a // 4 == b // 4 for a, b in links)
+    else:
+        import pyarrow as pa
+
+        table = pa.table({"id": pa.array(np.arange(len(sets))), "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+        found = passages._verified(80)((1,), table)
+        assert all(a // 4 == b // 4 for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) and found.num_rows > 8
