@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.columns import bin_fraction, clip, low_bin, next_bin, pickup_probability
 from wayfare.operators.calibrate import structural_minutes, with_calibrated_minutes, with_pair_names
-from wayfare.operators.od import od_spatial_prior, od_temporal_prior
 from wayfare.operators.space import route_at, with_profile_at
 from wayfare.plans.params import DEFAULT, Params
 
@@ -56,10 +55,8 @@ def estimate_od_bin(cells: DataFrame, model, params: Params = DEFAULT, direct: b
     short = (("avg_driver_revenue", "revenue"), ("avg_duration_min", "minutes"), ("avg_distance_miles", "miles"), ("revenue_std", "revenue_std"), ("duration_std", "minutes_std"), ("distance_std", "miles_std"))
     rows = rows.join(model.pairs.select(*pair, c("trip_count").alias("_g_n"), *(c(a).alias(f"_g_{b}") for a, b in short)), pair, "left")
     prior = (("driver_revenue", "revenue"), ("duration_min", "minutes"), ("distance_miles", "miles"), ("revenue_std", "revenue_std"), ("duration_std", "minutes_std"), ("distance_std", "miles_std"))
-    temporal = od_temporal_prior(model.observed, params)
-    rows = rows.join(temporal.select(*key, c("temporal_weight").alias("_t_w"), *(c(f"temporal_{a}").alias(f"_t_{b}") for a, b in prior)), key, "left")
-    spatial = od_spatial_prior(model.pairs, model.near, params)
-    rows = rows.join(spatial.select(*pair, c("spatial_total").alias("_s_w"), *(c(f"spatial_{a}").alias(f"_s_{b}") for a, b in prior)), pair, "left")
+    rows = rows.join(model.temporal.select(*key, c("temporal_weight").alias("_t_w"), *(c(f"temporal_{a}").alias(f"_t_{b}") for a, b in prior)), key, "left")
+    rows = rows.join(model.spatial.select(*pair, c("spatial_total").alias("_s_w"), *(c(f"spatial_{a}").alias(f"_s_{b}") for a, b in prior)), pair, "left")
     rows = route_at(with_profile_at(rows, model.profiles, params), model.routes, model.zones, model.profiles, params)
     rows = rows.join(F.broadcast(model.gravity)).join(F.broadcast(model.profiles.agg(F.avg("speed_mph").alias("_mph"), F.avg("revenue_per_mile").alias("_rpm"))))  # one row each
     sr, rr = c("_mph") / c("speed_at"), c("rpm_at") / F.greatest(F.lit(0.1), c("_rpm"))
@@ -80,6 +77,7 @@ def estimate_od_bin(cells: DataFrame, model, params: Params = DEFAULT, direct: b
     by_space = (at_least(2.5, 0.55 * c("_s_revenue") * rr + 0.45 * gravity), at_least(1.0, 0.55 * c("_s_minutes") * sr + 0.45 * drive), at_least(0.01, 0.55 * c("_s_miles") + 0.45 * way), at_least(1.0, c("_s_revenue_std")), at_least(2.0, c("_s_minutes_std") * sr), at_least(0.25, c("_s_miles_std")), clip(0.12 + 0.35 * s / (s + 30.0), params.min_confidence, 0.48), F.lit(0.0), F.lit("spatial_neighbor_gravity_eb"))
     fare = 0.55 * gravity + 0.45 * c("rpm_at") * way
     by_gravity = (fare, drive, way, at_least(1.0, 0.35 * fare), at_least(2.0, 0.30 * drive), at_least(0.25, 0.25 * way), clip(0.08 + 0.17 * c("route_confidence"), params.min_confidence, 0.28), F.lit(0.0), F.lit("spatial_gravity_time_fallback"))
+    # fixed values above: the ladder's published weights and slopes
     tiers: list[tuple[Column, tuple]] = [(n.isNotNull(), observed), (w > 0, by_time), (g.isNotNull(), by_pair), (c("_s_w") > 0, by_space)]
     if direct:
         tiers.insert(0, (c("_d_revenue").isNotNull(), tuple(c(f"_d_{x}") for x in (*ESTIMATES, "source"))))
@@ -105,14 +103,16 @@ def guard(rows: DataFrame, zones: DataFrame, calibration: DataFrame, params: Par
 def estimate_od(questions: DataFrame, model, params: Params = DEFAULT, direct: bool = True) -> DataFrame:
     """questions (query_id, origin, destination, minute) with estimates at the minute; an unknown zone is an error.
 
-    Both bins around the minute are estimated and mixed; the source is that of the nearer one.
+    Both bins around the minute are estimated and mixed; the source is that of the nearer one. A cell (bin and pair) is
+    estimated once, whatever the number of questions about it.
     """
     known = model.zones.select("zone_id").distinct()
     checked = questions.join(known.select(F.col("zone_id").alias("origin"), F.lit(True).alias("_o")), "origin", "left").join(known.select(F.col("zone_id").alias("destination"), F.lit(True).alias("_d")), "destination", "left")
     fail = F.raise_error(F.concat(F.lit("unknown zone pair: "), F.col("origin").cast("string"), F.lit("->"), F.col("destination").cast("string"))).cast("int")
     checked = checked.withColumn("origin", F.when(F.col("_o") & F.col("_d"), F.col("origin")).otherwise(fail)).select("query_id", "origin", "destination", F.col("minute").alias("asked"))
-    cells = two_bins(checked.withColumnRenamed("asked", "minute"), params).drop("minute")
-    rows = estimate_od_bin(cells, model, params, direct)
+    sided = two_bins(checked.withColumnRenamed("asked", "minute"), params).drop("minute")
+    cell = ["time_bin", "origin", "destination"]
+    rows = sided.join(estimate_od_bin(sided.select(*cell).distinct(), model, params, direct), cell)
     mixed = [F.sum(F.col("bin_weight") * F.col(e)).alias(e) for e in ESTIMATES]
     source = F.max_by("source", F.struct(F.when(F.col("is_low"), F.col("bin_weight") > 0.5).otherwise(F.col("bin_weight") >= 0.5), F.col("bin_weight")))
     return rows.groupBy("query_id", "origin", "destination").agg(*mixed, source.alias("source")).withColumn("is_directly_observed", F.col("observed_trip_count") > 0)

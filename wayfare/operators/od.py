@@ -56,14 +56,14 @@ def od_spatial_prior(pairs: DataFrame, near: DataFrame, params: Params = DEFAULT
     return from_near.unionByName(to_near).groupBy("origin", "destination").agg(F.sum("_w").alias("spatial_total"), *means)
 
 
-def od_estimates(observed: DataFrame, pairs: DataFrame, nodes: DataFrame, zones: DataFrame, near: DataFrame, profiles: DataFrame, gravity: DataFrame, calibration: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def od_estimates(observed: DataFrame, pairs: DataFrame, nodes: DataFrame, zones: DataFrame, temporal: DataFrame, spatial: DataFrame, profiles: DataFrame, gravity: DataFrame, calibration: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """One row per supported cell with every prior, its weight, the blend, confidence, layer and probability."""
     c = F.col
     rows = od_support(observed, pairs, zones, params).drop("score").join(zone_pairs(zones), ["origin", "destination"])
     rows = rows.join(observed.withColumnRenamed("trip_count", "_n"), ["time_bin", "origin", "destination"], "left")
     rows = rows.join(pairs.withColumnRenamed("trip_count", "_pair_n"), ["origin", "destination"], "left")
-    rows = rows.join(od_temporal_prior(observed, params).drop("temporal_revenue_std", "temporal_duration_std", "temporal_distance_std"), ["time_bin", "origin", "destination"], "left")
-    rows = rows.join(od_spatial_prior(pairs, near, params).drop("spatial_revenue_std", "spatial_duration_std", "spatial_distance_std"), ["origin", "destination"], "left")
+    rows = rows.join(temporal.drop("temporal_revenue_std", "temporal_duration_std", "temporal_distance_std"), ["time_bin", "origin", "destination"], "left")
+    rows = rows.join(spatial.drop("spatial_revenue_std", "spatial_duration_std", "spatial_distance_std"), ["origin", "destination"], "left")
     rows = rows.join(F.broadcast(profiles.select("time_bin", clip(c("speed_mph"), *params.mph).alias("_mph"))), "time_bin")  # one row per bin
     rows = rows.join(F.broadcast(gravity)).join(F.broadcast(profiles.agg(F.avg("speed_mph").alias("_all_mph"))))  # one row each
     rows = rows.join(nodes.select("time_bin", c("zone_id").alias("origin"), c("posterior").alias("_rate")), ["time_bin", "origin"], "left")

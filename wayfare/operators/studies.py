@@ -9,6 +9,7 @@ from wayfare.functions.columns import row_mean
 from wayfare.operators.episodes import keyed_digits, keyed_uniform
 from wayfare.operators.lookup import ESTIMATES, estimate_od
 from wayfare.plans.params import DEFAULT, Params
+from wayfare.sources.lineage import settle
 
 
 def average_rank(column: Column, by: list[str] | None = None) -> Column:
@@ -17,8 +18,26 @@ def average_rank(column: Column, by: list[str] | None = None) -> Column:
     return F.rank().over(own.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), column)) - 1) / 2.0
 
 
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """value, rank over all rows: values are counted, dealt by range, and ranks run on from one range to the next.
+
+    No task sees more than its range of distinct values; what is added up over all are the ranges' totals.
+    """
+    counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_n")).filter("value is not null")
+    ranged = settle(counted.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    offsets = ranged.groupBy("_part").agg(F.sum("_n").alias("_total")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.withColumn("_upto", inside).join(F.broadcast(offsets), "_part").select("value", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("rank"))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    ranked = df.select(*(by or []), average_rank(F.col(a), by).alias("_a"), average_rank(F.col(b), by).alias("_b"))
+    """Rank correlation of two columns, over all rows or in each group (groups are ranked in one task each)."""
+    if by:
+        ranked = df.select(*by, average_rank(F.col(a), by).alias("_a"), average_rank(F.col(b), by).alias("_b"))
+    else:
+        rows = df.select(F.col(a).alias("_x"), F.col(b).alias("_y"))
+        ranked = rows.join(average_ranks(df, a).toDF("_x", "_a"), "_x").join(average_ranks(df, b).toDF("_y", "_b"), "_y")
     both = F.stddev_pop("_a") * F.stddev_pop("_b")  # none where one of both is constant
     return ranked.groupBy(*(by or [])).agg(F.try_divide(F.covar_pop("_a", "_b"), both).alias("spearman"))
 

@@ -64,9 +64,17 @@ class TripModel:
     def bare_nodes(self) -> DataFrame:
         return settle(nodes.node_metrics(self.posterior, nodes.diffuse_supply(self.stock, self.near, self.params), self.zones, self.params))
 
+    @cached_property
+    def temporal(self) -> DataFrame:
+        return settle(od.od_temporal_prior(self.observed, self.params))
+
+    @cached_property
+    def spatial(self) -> DataFrame:
+        return settle(od.od_spatial_prior(self.pairs, self.near, self.params))
+
     @cached_property
     def od(self) -> DataFrame:
-        return settle(od.od_estimates(self.observed, self.pairs, self.posterior, self.zones, self.near, self.profiles, self.gravity, self.calibration, self.params))
+        return settle(od.od_estimates(self.observed, self.pairs, self.posterior, self.zones, self.temporal, self.spatial, self.profiles, self.gravity, self.calibration, self.params))
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -196,12 +196,12 @@ def od_spatial_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def od_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ("time_bin", "origin", "destination", "observed_trip_count", "driver_revenue", "duration_min", "distance_miles", "revenue_dev", "confidence", "imputation_layer", "effective_sample_size", "calibration_multiplier", "destination_probability", "trips_per_bin_day")
-    return rounded(model(spark, sf_dir).od.select(*wanted))
+    return rounded(model(spark, sf_dir).od.select(*wanted), 3)  # the fitted gravity differs by 1e-10 between orders of adding
 
 
 @query
 def node_trip_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(model(spark, sf_dir).nodes.select("time_bin", "zone_id", *(f"expected_{c}" for c in od.MEASURES)))
+    return rounded(model(spark, sf_dir).nodes.select("time_bin", "zone_id", *(f"expected_{c}" for c in od.MEASURES)), 3)
 
 
 @query
@@ -219,7 +219,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def od_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any pair at any minute, stored estimates first."""
-    return rounded(look.estimate_od(_questions(spark, sf_dir), model(spark, sf_dir)))
+    return rounded(look.estimate_od(_questions(spark, sf_dir), model(spark, sf_dir)), 3)
 
 
 @query

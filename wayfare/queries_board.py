@@ -163,7 +163,7 @@ def _on(chain: str, *args, **kwargs) -> str:
 
 
 ORACLES |= {
-    "candidate_details": _on(_POOL, "state_id, origin, destination, rank_sum::INT AS rank_sum, selected_rank, selected_rank <= 12 AS selected", "details", "route_minutes; route_miles; " + "; ".join(_SIX)),
+    "candidate_details": _on(_POOL, "state_id, origin, destination, rank_sum::INT AS rank_sum, selected_rank, selected_rank <= 12 AS selected", "details", "route_minutes; route_miles; " + "; ".join(_SIX), digits=3),
     "start_candidates": _on(_POOL, "state_id, selected_rank, destination, z.zone_name, z.borough, rank_sum::INT AS rank_sum", "details d JOIN zones z ON z.zone_id = d.destination WHERE selected_rank <= 12", "route_minutes; route_miles"),
     "policy_actions": f"{_ACTIONS} SELECT * FROM actions",
     "policy_agreement": _on(_ACTIONS, "a.policy AS policy_a, b.policy AS policy_b", "actions a JOIN actions b ON a.state_id = b.state_id GROUP BY a.policy, b.policy", "avg((a.action IS NOT DISTINCT FROM b.action)::INT) agreement; avg(((a.action IS NULL) = (b.action IS NULL))::INT) type_agreement"),

@@ -51,7 +51,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def candidate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_candidates(spark, sf_dir).select("state_id", "origin", "destination", "route_minutes", "route_miles", *candidates.METRICS, "rank_sum", "selected_rank", "selected"))
+    return rounded(_candidates(spark, sf_dir).select("state_id", "origin", "destination", "route_minutes", "route_miles", *candidates.METRICS, "rank_sum", "selected_rank", "selected"), 3)
 
 
 @query

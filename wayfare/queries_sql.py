@@ -234,7 +234,7 @@ ORACLES: dict[str, str] = {
         "query_id, origin, destination, source, observed_trip_count > 0 AS is_directly_observed",
         "(SELECT s.query_id, s.origin, s.destination, CASE WHEN t < 0.5 THEN a.source ELSE b.source END AS source, " + ", ".join(f"(1-t)*a.{c} + t*b.{c} AS {c}" for c in _ESTIMATED)
         + " FROM sided s JOIN estimate a ON a.time_bin = low AND a.origin = s.origin AND a.destination = s.destination JOIN estimate b ON b.time_bin = high AND b.origin = s.origin AND b.destination = s.destination)",
-        "; ".join(_ESTIMATED),
+        "; ".join(_ESTIMATED), 3,
     ),
     "od_lookup_fallbacks": _select("time_bin, origin, destination, source", "fallback", "; ".join((*_ESTIMATED, "floor_minutes")), 3),
     "node_lookup": _select(
@@ -276,8 +276,8 @@ ORACLES: dict[str, str] = {
     "od_support": _select("time_bin, origin, destination", "support", "score"),
     "od_temporal_prior": _select("time_bin, origin, destination", "temporal", "w temporal_weight; r temporal_driver_revenue; m temporal_duration_min; d temporal_distance_miles"),
     "od_spatial_prior": _select("origin, destination", "spatial", "w spatial_total; r spatial_driver_revenue; m spatial_duration_min; d spatial_distance_miles"),
-    "od_estimates": _select("time_bin, origin, destination, layer AS imputation_layer", "od", "n observed_trip_count; revenue driver_revenue; minutes duration_min; dist distance_miles; dev revenue_dev; confidence; eff effective_sample_size; mult calibration_multiplier; p destination_probability; p*rate trips_per_bin_day"),
-    "node_trip_expectations": _select("time_bin, zone_id", "expected", "revenue expected_driver_revenue; minutes expected_duration_min; dist expected_distance_miles"),
+    "od_estimates": _select("time_bin, origin, destination, layer AS imputation_layer", "od", "n observed_trip_count; revenue driver_revenue; minutes duration_min; dist distance_miles; dev revenue_dev; confidence; eff effective_sample_size; mult calibration_multiplier; p destination_probability; p*rate trips_per_bin_day", 3),
+    "node_trip_expectations": _select("time_bin, zone_id", "expected", "revenue expected_driver_revenue; minutes expected_duration_min; dist expected_distance_miles", 3),
     "build_summary": _select(
         "(SELECT count(*) FROM od) AS od_rows, (SELECT count(*) FROM od WHERE n > 0) AS observed_cells, (SELECT count(*) FROM od WHERE n = 0) AS imputed_cells, count(*) AS node_rows, max(service_days) AS service_days, (SELECT count(*) FROM edges) AS directed_edges",
         "nodes", "(SELECT avg(confidence) FROM od) mean_od_confidence; avg(node_confidence) mean_node_confidence; avg(wait_medium) mean_wait; quantile_cont(wait_medium, 0.5) median_wait",
