@@ -15,9 +15,9 @@ from wayfare.plans.params import DEFAULT, Params
 # ---------------------------------------------------------------- draws
 
 
-def keyed_digits(*keys: Column) -> Column:
+def keyed_digits(*keys: Column | str) -> Column:
     """32 hexadecimal digits fixed by the keys, the same in any engine that has MD5."""
-    return F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)).cast("binary"))
+    return F.md5(F.concat_ws(":", *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)).cast("binary"))
 
 
 def _bits(digits: Column) -> Column:
@@ -29,7 +29,7 @@ def scenario_bank(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("scenario_id"), _bits(keyed_digits(F.lit(seed), F.col("id"))).alias("base_seed"))
 
 
-def keyed_uniform(*keys: Column) -> Column:
+def keyed_uniform(*keys: Column | str) -> Column:
     """A number in (0, 1) fixed by the keys, so policies share their random numbers."""
     return (_bits(keyed_digits(*keys)).cast("double") + 0.5) / float(1 << 52)
 

@@ -36,8 +36,8 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
     if by:
         ranked = df.select(*by, average_rank(F.col(a), by).alias("_a"), average_rank(F.col(b), by).alias("_b"))
     else:
-        rows = df.select(F.col(a).alias("_x"), F.col(b).alias("_y"))
-        ranked = rows.join(average_ranks(df, a).toDF("_x", "_a"), "_x").join(average_ranks(df, b).toDF("_y", "_b"), "_y")
+        rows = settle(df.select(F.col(a).alias("_x"), F.col(b).alias("_y")))  # the same doubles wherever they are read
+        ranked = rows.join(average_ranks(rows, "_x").toDF("_x", "_a"), "_x").join(average_ranks(rows, "_y").toDF("_y", "_b"), "_y")
     both = F.stddev_pop("_a") * F.stddev_pop("_b")  # none where one of both is constant
     return ranked.groupBy(*(by or [])).agg(F.try_divide(F.covar_pop("_a", "_b"), both).alias("spearman"))
 
