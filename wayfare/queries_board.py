@@ -174,4 +174,10 @@ ORACLES |= {
     "board_shapley": _on(_GAME, "v.player, row_number() OVER (ORDER BY value DESC, v.player)::INT AS rank, zone_name, borough, partner", "values_of v JOIN zones z ON z.zone_id = v.player JOIN marginal m ON m.player = v.player AND m.game = 0 AND m.mask = 0 JOIN partners p ON p.player = v.player AND p.k = 1 WHERE v.game = 0", "value shapley_value; value lower; value upper; marginal singleton_gain; synergy", 3),
     "board_baselines": _on(_GAME, "'wait_only' AS kind_a, 'with_zone' AS kind_b", "ranks_of a JOIN ranks_of b ON a.player = b.player WHERE a.game = 0 AND b.game = 1", "corr(a.r,b.r) spearman; sum((a.k<=2AND(b.k<=2))::INT)/sum((a.k<=2OR(b.k<=2))::INT)::DOUBLE jaccard".replace("AND(", " AND (").replace("OR(", " OR ("), 4),
     "board_policy": f"""{_GAME} SELECT s.state_id, CASE WHEN r.minutes < s.remaining THEN v.target END AS action FROM states s JOIN solved v ON v.mask = 15 AND v.zone_id = s.zone_id AND v.step = floor((120 - s.remaining)/5)::INT LEFT JOIN board_routes r ON r.origin = s.zone_id AND r.destination = v.target""",
+    "competition_table": _on(
+        f"""{_CHAIN}, thirds AS (SELECT ['low', 'medium', 'high'][hour(ts)::INT//8 + 1] AS competition_scenario, event_type AS algorithm, user_id, sum(value) AS x FROM events GROUP BY ALL),
+level AS (SELECT s AS competition_scenario, w AS start_wait, greatest(w*posterior/15 - 1, 0) AS start_competitors FROM full_nodes, (VALUES ('low'), ('medium'), ('high')) v(s) CROSS JOIN LATERAL (SELECT CASE s WHEN 'low' THEN wait_low WHEN 'medium' THEN wait_medium ELSE wait_high END AS w) WHERE zone_id = {START_ZONE} AND time_bin = {int(START) // 15})""",
+        "competition_scenario, algorithm, episodes",
+        "(SELECT competition_scenario, algorithm, count(*) AS episodes, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std FROM thirds GROUP BY ALL) JOIN level USING (competition_scenario)",
+        "mean; mean-1.96*std/sqrt(episodes) lower; mean+1.96*std/sqrt(episodes) upper; start_wait; start_competitors"),
 }
