@@ -317,15 +317,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most: int = MOST, step
         kinds = shared.groupBy("anchor", "content", "starts").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "doc_id", "start", "gram", "again")).alias("one"))
         kinds = cut(kinds.select("anchor", "content", "starts", "n", "one.*"))
         whole = shared.join(kinds.filter("n > 1").select("anchor", "content", "starts"), ["anchor", "content", "starts"])
-        whole = whole.select("row", "doc_id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("end"))
+        whole = cut(whole.select("row", "doc_id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("end")))
         marks = marks.union(whole) if marks else whole
 
         per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("again").alias("any_again")).filter("least = 1 and (kinds > 1 or any_again)")
         wanted = kinds.join(per.select("anchor", "kinds"), "anchor").select("row", F.struct("start", "starts", "gram", "anchor", (F.col("n") == 1).alias("open"), "kinds").alias("w"))
         lists = cut(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")))
+        discard(shared, kinds)  # whole and lists hold what is left to know of them
         if lists.isEmpty():
             return marks
         opened = cut(rows.join(lists, "row").select("row", "doc_id", "text", "wanted").mapInArrow(_opened(length), OPENED))
+        discard(lists)
         few, many = opened.filter(F.col("kinds") <= most), opened.filter(F.col("kinds") > most)
         marks = marks.union(few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length, step), MARKS))
         if width is None or many.isEmpty():
