@@ -107,10 +107,10 @@ def test_bands_follow_the_limit():
 def test_passages_of_short_lines_are_removed(docs_of):
     """A verse of lines of four words and fewer."""
     verse = "\n".join(f"verse{k} goes on{k}" if k % 2 else f"line{k} of four words{k}" for k in range(15))
-    rows = [(k, f"{filler(k)}\n{verse}\n{filler(k + 50)}") for k in range(3)]
+    rows = [(k, f"{filler(k)}\n{verse}\n{filler(k + 50)}") for k in range(30)]  # what stands around it cuts its ends unlike
     got = {r.doc_id: r for r in passages.remove_passages(docs_of(rows)).collect()}
     assert got[0].n_removed == 0 and got[0].kept_text == rows[0][1]
-    for k in (1, 2):
+    for k in range(1, 30):
         assert got[k].n_words_removed == len(verse.split())
         assert got[k].kept_text.split() == [*filler(k).split(), *filler(k + 50).split()]
 
