@@ -12,10 +12,47 @@ MEASURES = {"revenue": "driver_revenue", "duration": "duration_min", "distance":
 SUMS = ["trip_count", *(f"{m}_{k}" for m in MEASURES for k in ("sum", "sumsq"))]
 
 
+def _sums() -> list[Column]:
+    sums = [s for m, c in MEASURES.items() for s in (F.sum(c).alias(f"{m}_sum"), F.sum(F.col(c) * F.col(c)).alias(f"{m}_sumsq"))]
+    return [F.count(F.lit(1)).alias("trip_count"), *sums]
+
+
 def od_time_aggregate(clean: DataFrame) -> DataFrame:
     """Count, sums and sums of squares for each time bin, origin and destination."""
-    sums = [s for m, c in MEASURES.items() for s in (F.sum(c).alias(f"{m}_sum"), F.sum(F.col(c) * F.col(c)).alias(f"{m}_sumsq"))]
-    return clean.groupBy("time_bin", "origin", "destination").agg(F.count(F.lit(1)).alias("trip_count"), *sums)
+    return clean.groupBy("time_bin", "origin", "destination").agg(*_sums())
+
+
+#: What trip_partials groups by: cells of a bin and a pair, where and when trips end, and the days of a month's file.
+CELL, ENDS, DAY = ("time_bin", "origin", "destination"), ("dropoff_bin", "dropoff_zone"), ("source_month", "pickup_date")
+
+
+def trip_partials(clean: DataFrame) -> DataFrame:
+    """One pass over the trips: sums of each cell, counts of each zone's ends by bin and of each day, told by `part`.
+
+    All three are bounded by the city and the calendar, however many trips there are.
+    """
+    rows = clean.withColumn("dropoff_zone", F.col("destination"))
+    keys = (*CELL, *ENDS, *DAY)
+    grouped = rows.groupingSets([[F.col(c) for c in k] for k in (CELL, ENDS, DAY)], *keys)
+    part = F.when(F.grouping("time_bin") == 0, "cell").when(F.grouping("dropoff_bin") == 0, "ends").otherwise("day")
+    return grouped.agg(part.alias("part"), *_sums()).select("part", *keys, *SUMS)
+
+
+def partial_cells(partials: DataFrame) -> DataFrame:
+    """The rows of od_time_aggregate from trip_partials."""
+    return partials.filter("part = 'cell'").select(*CELL, *SUMS)
+
+
+def partial_pickups(partials: DataFrame) -> DataFrame:
+    return partials.filter("part = 'cell'").groupBy("time_bin", F.col("origin").alias("zone_id")).agg(F.sum("trip_count").alias("pickup_count"))
+
+
+def partial_dropoffs(partials: DataFrame) -> DataFrame:
+    return partials.filter("part = 'ends'").select(F.col("dropoff_bin").alias("time_bin"), F.col("dropoff_zone").alias("zone_id"), F.col("trip_count").alias("dropoff_count"))
+
+
+def partial_days(partials: DataFrame) -> DataFrame:
+    return partials.filter("part = 'day'").agg(F.count(F.lit(1)).alias("service_days"))
 
 
 def pickup_counts(clean: DataFrame) -> DataFrame:

@@ -20,9 +20,15 @@ class TripModel:
     def clean(self) -> DataFrame:
         return settle(clean.clean_trips(self.trips, self.zones, self.params))
 
+    @cached_property
+    def partials(self) -> DataFrame:
+        """All that the model keeps of the trips, in one pass that writes no trip; `clean` is settled only for who asks for trips."""
+        trips = self.__dict__.get("clean")
+        return settle(aggregate.trip_partials(clean.clean_trips(self.trips, self.zones, self.params) if trips is None else trips))
+
     @cached_property
     def cells(self) -> DataFrame:
-        return settle(aggregate.od_time_aggregate(self.clean))
+        return aggregate.partial_cells(self.partials)
 
     @cached_property
     def observed(self) -> DataFrame:
@@ -50,7 +56,7 @@ class TripModel:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return settle(nodes.node_grid(aggregate.pickup_counts(self.clean), aggregate.dropoff_counts(self.clean), aggregate.service_days(self.clean), self.zones, self.params))
+        return settle(nodes.node_grid(aggregate.partial_pickups(self.partials), aggregate.partial_dropoffs(self.partials), aggregate.partial_days(self.partials), self.zones, self.params))
 
     @cached_property
     def posterior(self) -> DataFrame:

@@ -31,13 +31,25 @@ def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     return df.select(*(F.round(F.col(c) + 1.3e-9, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def line_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their order's and both nations' columns.
+
+    Orders meet their customers and line items their suppliers first, so that the many rows are dealt once, by order. An
+    order is one row of its side, so that side is hashed and neither is sorted.
+    """
+    read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    orders = read("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(read("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def trip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line_view(spark, sf_dir)
     start = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131 + F.col("l_suppkey") * 17) % 1440
     minutes = 2.0 + F.col("l_quantity") * 1.2 + ((F.col("l_partkey") * 13) % 30)
     day = F.col("o_orderdate").cast("timestamp_ntz")
-    later = lambda t, m: t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (m * 60).cast("decimal(18,6)"))
+    second = F.expr("INTERVAL '1' SECOND")  # times doubles it rounds to microseconds, without decimals in between
+    later = lambda t, m: t + second * (m * 60).cast("double")
     pickup = later(day, start)
     return rows.select(
         pickup.alias("tpep_pickup_datetime"), later(pickup, minutes).alias("tpep_dropoff_datetime"), (F.col("s_nationkey") + 1).cast("int").alias("PULocationID"), (F.col("c_nationkey") + 1).cast("int").alias("DOLocationID"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators import clean, episodes, policies, shapley, studies
 from wayfare.plans.params import DEFAULT
-from wayfare.queries import model, query, rounded, trip_view, zone_view
+from wayfare.queries import line_view, model, query, rounded, trip_view, zone_view
 from wayfare.queries_board import _SCORES, _on
 from wayfare.queries_board import _ACTIONS as _ACTIONS_SQL
 from wayfare.queries_decide import BOARD, START, _candidates, _players, _states, board, coalition_table
@@ -24,8 +24,7 @@ TYPES = ("WAIT_NO_PICKUP", "WAIT_FOR_PICKUP", "OCCUPIED_TRIP", "OCCUPIED_TRIP",
 
 
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line_view(spark, sf_dir)
     kind = F.element_at(F.array(*(F.lit(t) for t in TYPES)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(TYPES)).cast("int") + 1)
     from_zone = (F.col("s_nationkey") + 1).cast("int")
     to_zone = F.when(F.col("kind") == "OCCUPIED_TRIP", F.col("c_nationkey") + 1).when(F.col("kind") == "EMPTY_REPOSITION", (F.col("s_nationkey") + F.col("l_linenumber")) % 25 + 1).otherwise(F.col("s_nationkey") + 1).cast("int")
