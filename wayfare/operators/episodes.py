@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfare.functions.columns import clock_text
-from wayfare.operators.lookup import node_at, od_options
+from wayfare.functions.columns import bin_fraction, clock_text, low_bin
+from wayfare.operators.lookup import node_at
 from wayfare.operators.space import route_at
 from wayfare.plans.params import DEFAULT, Params
+from wayfare.sources.lineage import settle
 
 # ---------------------------------------------------------------- draws
 
@@ -51,6 +52,39 @@ def draw_destination(options: DataFrame) -> DataFrame:
     return hit.withColumn("_h", F.row_number().over(order)).filter("_h = 1").drop("_sum", "_k", "_n", "_h")
 
 
+#: What od_options answers for a destination besides its probability.
+OPTION_METRICS = ("driver_revenue", "duration_min", "distance_miles", "revenue_dev", "duration_dev", "distance_dev", "confidence")
+
+
+def option_cells(od: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """low, origin, options: the destinations of a bin and the next one as one array, by destination. A row for each bin and zone."""
+    p = ("destination_probability", *OPTION_METRICS)
+    side = lambda name, bin_: od.select(bin_.cast("int").alias("low"), "origin", "destination", *(F.col(c).cast("double").alias(f"{name}_{c}") for c in p))
+    both = side("l", F.col("time_bin")).join(side("h", F.pmod(F.col("time_bin") - 1, F.lit(params.bins))), ["low", "origin", "destination"], "full").na.fill(0.0)
+    option = F.struct("destination", *(f"{n}_{c}" for n in "lh" for c in p))
+    return both.groupBy("low", "origin").agg(F.sort_array(F.collect_list(option)).alias("options"))
+
+
+def draw_at(questions: DataFrame, cells: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """questions (origin, minute, u, ...) with the destination drawn by u and its mean metrics at the minute.
+
+    The same as od_options and draw_destination one after the other, but a question stays one row: its options are an
+    array of option_cells, which is mixed, sorted and summed in place. Origins without options drop out.
+    """
+    rows = questions.withColumn("low", low_bin(F.col("minute"), params)).join(cells, ["low", "origin"])
+    t = bin_fraction(F.col("minute"), params)
+    rows = rows.withColumn("_t", t).withColumn("_p", F.transform("options", lambda o: F.greatest((1 - F.col("_t")) * o["l_destination_probability"] + F.col("_t") * o["h_destination_probability"], F.lit(0.0))))
+    rows = rows.withColumn("_all", F.greatest(F.aggregate("_p", F.lit(0.0), lambda a, x: a + x), F.lit(1e-12)))
+    falling = F.array_sort(F.transform("_p", lambda x, k: F.struct((-x / F.col("_all")).alias("less"), k.alias("k"))))  # options are sorted by destination
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"), F.lit(False).alias("hit"))
+    step = lambda a, x: F.when(a["hit"], a).otherwise(F.struct((a["sum"] - x["less"]).alias("sum"), x["k"].alias("k"), (a["sum"] - x["less"] >= F.col("u")).alias("hit")))
+    rows = rows.withColumn("_k", F.aggregate(falling, start, step, lambda a: a["k"]))
+    rows = rows.withColumn("_o", F.get(F.col("options"), F.col("_k")))
+    low, high = ((w * F.col("_o")[f"{n}_destination_probability"]) for n, w in (("l", 1 - F.col("_t")), ("h", F.col("_t"))))
+    metrics = [((low * F.col("_o")[f"l_{m}"] + high * F.col("_o")[f"h_{m}"]) / F.greatest(low + high, F.lit(1e-12))).alias(m) for m in OPTION_METRICS]
+    return rows.select(*questions.columns, F.col("_o")["destination"].alias("destination"), *metrics)
+
+
 def trip_metrics(mean: Column, std: Column, z: Column, floor: float) -> Column:
     return F.greatest(mean + z * std, F.lit(floor))
 
@@ -68,9 +102,9 @@ def one_step(actions: DataFrame, model, seed: int, params: Params = DEFAULT, sce
     none = waiting.filter(F.col("wait") > F.least(F.lit(step), F.col("remaining")))
     none = none.select("query_id", F.col("zone_id").alias("next_zone"), (F.col("minute") + F.least(F.lit(step), F.col("remaining"))).alias("next_minute"), F.lit(0.0).alias("reward"), (F.col("remaining") <= step).alias("done"))
     picked = waiting.filter(F.col("wait") <= F.least(F.lit(step), F.col("remaining"))).withColumn("at", F.col("minute") + F.col("wait"))
-    options = od_options(picked.select("query_id", F.col("zone_id").alias("origin"), F.col("at").alias("minute")), model.od)
-    options = options.join(picked.select("query_id", "scenario_id", "minute", "remaining", "wait", "at", keyed_uniform(*key("destination")).alias("u")), "query_id")
-    trip = draw_destination(options).withColumns({
+    asked = picked.select("query_id", "scenario_id", F.col("minute").alias("asked"), "remaining", "wait", F.col("zone_id").alias("origin"), F.col("at").alias("minute"), keyed_uniform(*key("destination")).alias("u"))
+    drawn = draw_at(asked, settle(option_cells(model.od, params)), params).withColumnRenamed("minute", "at").withColumnRenamed("asked", "minute")
+    trip = drawn.withColumns({
         "minutes": trip_metrics(F.col("duration_min"), F.col("duration_dev"), keyed_normal(*key("minutes")), 1.0),
         "miles": trip_metrics(F.col("distance_miles"), F.col("distance_dev"), keyed_normal(*key("miles")), 0.01),
         "fare": trip_metrics(F.col("driver_revenue"), F.col("revenue_dev"), keyed_normal(*key("fare")), 0.0),

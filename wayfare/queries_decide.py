@@ -244,7 +244,10 @@ def one_step_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
     trips = trip_view(spark, sf_dir)
     key = F.xxhash64(*trips.columns)
-    rows = trips.select(key.alias("query_id"), (key % 300).alias("scenario_id"), F.col("PULocationID").alias("zone_id"), F.lit(START).alias("minute"), F.lit(60.0).alias("remaining"), F.when(key % 3 == 0, F.col("DOLocationID")).alias("action")).dropDuplicates(["query_id"])
+    key_ = F.col("query_id")
+    rows = trips.select(key.alias("query_id"), F.col("PULocationID").alias("zone_id"), F.col("DOLocationID").alias("to")).dropDuplicates(["query_id"])
+    rows = settle(rows)  # read three times
+    rows = rows.select("query_id", (key_ % 300).alias("scenario_id"), "zone_id", F.lit(START).alias("minute"), F.lit(60.0).alias("remaining"), F.when(key_ % 3 == 0, F.col("to")).alias("action"))
     return rounded(episodes.one_step(rows, m, 7))
 
 
