@@ -34,13 +34,12 @@ def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
 def line_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order's and both nations' columns.
 
-    Orders meet their customers and line items their suppliers first, so that the many rows are dealt once, by order. An
-    order is one row of its side, so that side is hashed and neither is sorted.
+    Orders meet their customers and line items their suppliers first, so that the many rows are dealt once, by order.
     """
     read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
     orders = read("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     lines = read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(read("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return lines.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def trip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
