@@ -12,14 +12,23 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def time_bin(ts: Column, params: Params = DEFAULT) -> Column:
-    return (F.hour(ts) * (60 // params.bin_minutes) + F.floor(F.minute(ts) / params.bin_minutes)).cast("int")
+DAY_MICROS = 86_400_000_000
 
 
-def duration_minutes(start: Column, end: Column) -> Column:
-    """Minutes between two clock readings without a zone."""
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    return (micros(end) - micros(start)) / F.lit(60_000_000.0)
+def day_micros(ts: Column) -> Column:
+    """Microseconds since midnight of a clock reading without a zone."""
+    return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+def month_text(day: Column) -> Column:
+    """yyyy-MM of a date; formatting takes far longer than its numbers, so it is left to years of other than four digits."""
+    digits = F.concat(F.year(day).cast("string"), F.lit("-"), F.lpad(F.month(day).cast("string"), 2, "0"))
+    return F.when(F.year(day).between(1000, 9999), digits).otherwise(F.date_format(day, "yyyy-MM"))
+
+
+def micros_bin(micros: Column, params: Params = DEFAULT) -> Column:
+    """The time bin of microseconds since some midnight."""
+    return F.floor(F.pmod(micros, F.lit(DAY_MICROS)) / F.lit(params.bin_minutes * 60_000_000)).cast("int")
 
 
 def clock_minutes(value: Column) -> Column:

@@ -31,28 +31,60 @@ def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     return df.select(*(F.round(F.col(c) + 1.3e-9, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def _orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with their customer's nation, line items with their supplier's."""
+    read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    orders = read("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(read("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return orders, lines
+
+
 def line_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order's and both nations' columns.
 
     Orders meet their customers and line items their suppliers first, so that the many rows are dealt once, by order.
     """
-    read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-    orders = read("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = read("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(read("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders, lines = _orders_and_lines(spark, sf_dir)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def trip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_view(spark, sf_dir)
+def _trip_numbers() -> tuple[Column, Column, list[Column]]:
+    """Of a line item: minutes after its order's date, minutes of the trip, and miles, fare and tip."""
     start = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 131 + F.col("l_suppkey") * 17) % 1440
     minutes = 2.0 + F.col("l_quantity") * 1.2 + ((F.col("l_partkey") * 13) % 30)
+    fare = F.col("l_extendedprice") / 1000.0
+    return start, minutes, [(F.col("l_quantity") * 0.4).cast("double").alias("trip_distance"), fare.cast("double").alias("fare_amount"), (fare * F.col("l_discount")).cast("double").alias("tip_amount")]
+
+
+def clocked_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trips of trip_view by date and microseconds, as cleaning takes them.
+
+    What depends on an order or a line item alone is computed, and filtered, before they meet; after that all is arithmetic.
+    """
+    orders, lines = _orders_and_lines(spark, sf_dir)
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    start, minutes, numbers = _trip_numbers()
+    micros = F.floor((minutes * 60).cast("double") * 1_000_000 + 0.5)  # as trip_view rounds them
+    orders = orders.select("o_orderkey", (F.col("c_nationkey") + 1).cast("int").alias("DOLocationID"), col.month_text(F.to_date(day)).alias("source_month"), F.to_date(day).alias("day"), F.when(day == F.to_date(day), F.lit(0)).otherwise(col.day_micros(day)).alias("into_day"))
+    raw = ("l_quantity", "l_extendedprice", "l_discount")  # few distinct values, which compress; filters on what is made of them move below the join
+    lines = lines.select("l_orderkey", (F.col("s_nationkey") + 1).cast("int").alias("PULocationID"), (start * 60_000_000).alias("after"), micros.alias("duration_micros"), *raw)
+    since = F.col("into_day") + F.col("after")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.date_add("day", F.floor(since / col.DAY_MICROS).cast("int")).alias("pickup_date"), F.pmod(since, F.lit(col.DAY_MICROS)).alias("pickup_micros"), "duration_micros",
+        "PULocationID", "DOLocationID", *numbers, "source_month",
+    )
+
+
+def trip_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_view(spark, sf_dir)
+    start, minutes, numbers = _trip_numbers()
     day = F.col("o_orderdate").cast("timestamp_ntz")
     second = F.expr("INTERVAL '1' SECOND")  # times doubles it rounds to microseconds, without decimals in between
     later = lambda t, m: t + second * (m * 60).cast("double")
     pickup = later(day, start)
     return rows.select(
         pickup.alias("tpep_pickup_datetime"), later(pickup, minutes).alias("tpep_dropoff_datetime"), (F.col("s_nationkey") + 1).cast("int").alias("PULocationID"), (F.col("c_nationkey") + 1).cast("int").alias("DOLocationID"),
-        (F.col("l_quantity") * 0.4).cast("double").alias("trip_distance"), (F.col("l_extendedprice") / 1000.0).cast("double").alias("fare_amount"), (F.col("l_extendedprice") / 1000.0 * F.col("l_discount")).cast("double").alias("tip_amount"), F.date_format("o_orderdate", "yyyy-MM").alias("source_month"),
+        *numbers, F.date_format("o_orderdate", "yyyy-MM").alias("source_month"),
     )
 
 
@@ -82,7 +114,7 @@ def model(spark: SparkSession, sf_dir: str) -> TripModel:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         zones = zone_view(spark, sf_dir)
-        _models[key] = TripModel(trip_view(spark, sf_dir), zones, space.zone_adjacency(vertex_view(zones)))
+        _models[key] = TripModel(clocked_trips(spark, sf_dir), zones, space.zone_adjacency(vertex_view(zones)))
     return _models[key]
 
 
