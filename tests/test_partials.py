@@ -5,7 +5,7 @@ import math
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from wayfare import queries
+from wayfare import queries, queries_events
 from wayfare.functions.columns import month_text
 from wayfare.operators import aggregate, clean
 
@@ -66,6 +66,13 @@ def test_no_clock_is_read_for_each_line_item(spark):
     assert len(joins) == 1 and not any(part in joins[0] for part in (">=", "<=", "l_extendedprice", "duration"))
 
 
+def test_kinds_of_events_are_told_after_the_window(spark):
+    text = queries_events.event_view(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(" in text and "element_at(" not in text[text.index("Window [") :]
+    window = text[text.index("Window [") :].splitlines()[0]
+    assert window.index("o_custkey") < window.index("o_orderpriority")
+
+
 def test_months_are_told_as_formatted(spark):
     days = spark.sql("SELECT explode(array(date'1992-01-31', date'2021-12-01', date'0999-03-04', date'9999-10-09', NULL)) AS d")
     assert all(r.a == r.b for r in days.select(month_text(F.col("d")).alias("a"), F.date_format("d", "yyyy-MM").alias("b")).collect())

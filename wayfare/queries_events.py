@@ -24,14 +24,16 @@ TYPES = ("WAIT_NO_PICKUP", "WAIT_FOR_PICKUP", "OCCUPIED_TRIP", "OCCUPIED_TRIP",
 
 
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the window by customer first, so that rows are sorted by a number, not by one of five texts."""
     rows = line_view(spark, sf_dir)
     kind = F.element_at(F.array(*(F.lit(t) for t in TYPES)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(TYPES)).cast("int") + 1)
     from_zone = (F.col("s_nationkey") + 1).cast("int")
     to_zone = F.when(F.col("kind") == "OCCUPIED_TRIP", F.col("c_nationkey") + 1).when(F.col("kind") == "EMPTY_REPOSITION", (F.col("s_nationkey") + F.col("l_linenumber")) % 25 + 1).otherwise(F.col("s_nationkey") + 1).cast("int")
-    own = Window.partitionBy("o_orderpriority", "o_custkey").orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    rows = rows.withColumn("kind", kind).withColumn("minutes", ((F.col("l_partkey") * 13) % 30 + 1).cast("double"))
+    own = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = rows.withColumn("minutes", ((F.col("l_partkey") * 13) % 30 + 1).cast("double"))
     rows = rows.withColumn("event_index", (F.row_number().over(own) - 1).cast("long")).withColumn("end", F.sum("minutes").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("start", F.col("end") - F.col("minutes")).filter(F.col("start") < DEFAULT.horizon_minutes)
+    rows = rows.withColumn("kind", kind)  # not before: it would be dealt and sorted with the rows
     late = F.col("end") > DEFAULT.horizon_minutes
     event = F.when(late & (F.col("kind") == "OCCUPIED_TRIP"), "UNFINISHED_TRIP").when(late & (F.col("kind") == "EMPTY_REPOSITION"), "TERMINAL_UNUSED").otherwise(F.col("kind"))
     miles = F.when(F.col("kind").isin("OCCUPIED_TRIP", "EMPTY_REPOSITION"), F.col("l_quantity") * 0.4).otherwise(0.0).cast("double")
