@@ -108,19 +108,20 @@ def time_profiles(observed: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def fit_gravity(pairs: DataFrame) -> DataFrame:
     """Weighted least squares of a pair's revenue on distance and duration: one row of coefficients and means.
 
-    The normal equations are summed in one pass and solved by Cramer's rule. Rows weigh by their count in the fit and by
-    its root in the means, as published.
+    Rows weigh by their count in the fit and by its root in the means, as published. The equations are those of deviations
+    from the weighted means: where duration nearly follows distance, sums of raw squares would lose half of the digits.
+    Pairs on one line have no slopes: all coefficients are 0, as in an empty table.
     """
     w, x, z, y = F.col("trip_count").cast("double"), F.col("avg_distance_miles"), F.col("avg_duration_min"), F.col("avg_driver_revenue")
-    terms = {"s": w, "x": w * x, "z": w * z, "y": w * y, "xx": w * x * x, "xz": w * x * z, "zz": w * z * z, "xy": w * x * y, "zy": w * z * y}
+    centre = pairs.agg(*((F.sum(w * v) / F.sum(w)).alias(k) for k, v in {"_x": x, "_z": z, "_y": y}.items()))
+    dx, dz, dy = x - F.col("_x"), z - F.col("_z"), y - F.col("_y")
+    terms = {"xx": w * dx * dx, "xz": w * dx * dz, "zz": w * dz * dz, "xy": w * dx * dy, "zy": w * dz * dy}
     root = F.sqrt(w)
     means = {"mean_revenue": y, "mean_duration": z, "mean_distance": x}
-    sums = pairs.agg(*(F.sum(v).alias(k) for k, v in terms.items()), *((F.sum(root * v) / F.sum(root)).alias(k) for k, v in means.items()))
+    rows = pairs.join(F.broadcast(centre))  # one row
+    sums = rows.agg(*(F.sum(v).alias(k) for k, v in terms.items()), *((F.sum(root * v) / F.sum(root)).alias(k) for k, v in means.items()), *(F.max(k).alias(k) for k in ("_x", "_z", "_y")))
     c = F.col
-
-    def det(a: list[list]) -> Column:
-        return a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
-
-    left, right = [[c("s"), c("x"), c("z")], [c("x"), c("xx"), c("xz")], [c("z"), c("xz"), c("zz")]], [c("y"), c("xy"), c("zy")]
-    solved = [det([[right[i] if k == j else left[i][j] for j in range(3)] for i in range(3)]) / F.nullif(det(left), F.lit(0.0)) for k in range(3)]
-    return sums.select(*(F.coalesce(v, F.lit(0.0)).alias(n) for v, n in zip(solved, ("intercept", "distance", "duration"), strict=True)), *means)
+    det = F.nullif(c("xx") * c("zz") - c("xz") * c("xz"), F.lit(0.0))
+    slopes = sums.select("*", ((c("xy") * c("zz") - c("xz") * c("zy")) / det).alias("_distance"), ((c("xx") * c("zy") - c("xz") * c("xy")) / det).alias("_duration"))
+    solved = {"intercept": c("_y") - c("_distance") * c("_x") - c("_duration") * c("_z"), "distance": c("_distance"), "duration": c("_duration")}
+    return slopes.select(*(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in solved.items()), *means)
